@@ -1,0 +1,22 @@
+"""Joining rows to one row per key when single keys may hold a large part of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot if it holds at least this share of all rows, so there are at most 1000 hot keys.
+HOT_SHARE = 0.001
+
+
+def join_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``groups``, which has one row per key and its number of rows in ``n``.
+
+    ``total`` is at least the sum of ``n``, so at most 1 / HOT_SHARE groups are hot: they are
+    broadcast and their rows never shuffled. All others take an ordinary shuffled join.
+    Null keys match nothing; ``n`` is not part of the result.
+    """
+    limit = max(2.0, total * HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col(n) >= limit).drop(n))
+    cold = groups.where(F.col(n) < limit).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
