@@ -68,6 +68,7 @@ _SKETCH = "pos long, field int, h1 long, h2 long, fp1 long, fp2 long, mins binar
 def sketch_table(rows: DataFrame, fields: list[str], count: int, bits: int) -> DataFrame:
     """A row for each row and field whose text has a similarity: its class digest (128 bits),
     its fingerprint (128 bits) and the low ``bits`` (8 or 16) bits of ``count`` minwise values."""
+    drawn = max(count, S.SYMBOLS)
 
     kind = {8: np.uint8, 16: ">u2"}[bits]
 
@@ -75,20 +76,19 @@ def sketch_table(rows: DataFrame, fields: list[str], count: int, bits: int) -> D
         for batch in batches:
             pos = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(len(fields)):
-                for at, digest, fp, mins in _sketched(batch.column(k + 1).to_pylist(), count):
+                for at, digest, fp, mins in _sketched(batch.column(k + 1).to_pylist(), drawn):
                     cols = [pa.array(pos[at], pa.int64()), pa.array(np.full(len(at), k, np.int32))]
                     cols += [pa.array(np.ascontiguousarray(x)) for x in (digest[:, 0], digest[:, 1], fp[:, 0], fp[:, 1])]
-                    low = mins & np.uint32(2**bits - 1)
+                    low = mins[:, :count] & np.uint32(2**bits - 1)
                     yield pa.RecordBatch.from_arrays([*cols, _binary(low.astype(kind))], ["pos", "field", "h1", "h2", "fp1", "fp2", "mins"])
 
     return rows.select("pos", *fields).mapInArrow(run, _SKETCH)
 
 
-def _differing_nibbles(a: str, b: str) -> Column:
+def _differing_symbols(a: str, b: str) -> Column:
     x = F.col(a).bitwiseXOR(F.col(b))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
 
 
 def _differing_bits(a: str, b: str) -> Column:
@@ -117,8 +117,8 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
 #: is cut into 8 parts of 4 cells; every 3 of the 4 cells of a part give a signature. Sketches that
 #: differ in at most 15 of 32 values share one for certain; of pairs at the threshold 0.02 % share none.
 PARTS, CELLS = 8, 4
-#: Fingerprints may differ in so many of 32 nibbles; at the threshold 0.002 % of pairs differ in more.
-MAX_NIBBLES = 19
+#: Fingerprints may differ in so many of 64 symbols; at the threshold 14 are expected, deviation 3.3.
+MAX_SYMBOLS = 26
 
 
 def partenum_signatures(field: str = "field", mins: str = "mins") -> Column:
@@ -143,7 +143,7 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
     left = sigs.select("sig", F.col("field"), F.col("pos").alias("a"), F.col("fp1").alias("a1"), F.col("fp2").alias("a2"))
     right = sigs.select("sig", F.col("field").alias("field_b"), F.col("pos").alias("b"), F.col("fp1").alias("b1"), F.col("fp2").alias("b2"))
-    near = _differing_nibbles("a1", "b1") + _differing_nibbles("a2", "b2") <= MAX_NIBBLES
+    near = _differing_symbols("a1", "b1") + _differing_symbols("a2", "b2") <= MAX_SYMBOLS
     pairs = left.join(right, "sig").where((F.col("field") == F.col("field_b")) & (F.col("a") < F.col("b")) & near)
     pairs = materialize(pairs.select("field", "a", "b").distinct(), "pairs")
     texts = rows.select("pos", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))).alias("t"))
@@ -195,8 +195,8 @@ def found_groups(items: DataFrame) -> DataFrame:
 #: threshold share no segment with probability 4e-5. Bits of minwise values are used instead of
 #: signs of random projections: at similarity 0.7 they differ less often.
 SEGMENTS, WIDTH = 24, 3
-#: Hamming radius of the 128-bit fingerprint: mean 19 bits at the threshold, deviation 6.
-RADIUS = 46
+#: Hamming radius of the 128-bit fingerprint: mean 19 bits at the threshold, deviation 4.8.
+RADIUS = 37
 
 
 def overlap_rows(items: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ import numpy as np
 
 GRAM = 4
 MIN_CHARS = 20
-#: A 128-bit fingerprint has four bits of each of so many minwise values.
-NIBBLES = 32
+#: A 128-bit fingerprint has two bits of each of so many minwise values.
+SYMBOLS = 64
 
 
 @functools.cache
@@ -86,9 +86,9 @@ def sketches(cp: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
 
 
 def fingerprints(mins: np.ndarray) -> np.ndarray:
-    """[texts, 2] signed 64-bit halves of the 128-bit fingerprint: low nibbles of the first 32 values."""
-    nib = (mins[:, :NIBBLES] & np.uint32(15)).astype(np.uint64).reshape(len(mins), 2, 16)
-    return (nib << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+    """[texts, 2] signed 64-bit halves of the 128-bit fingerprint: the two low bits of the first 64 values."""
+    two = (mins[:, :SYMBOLS] & np.uint32(3)).astype(np.uint64).reshape(len(mins), 2, SYMBOLS // 2)
+    return (two << (np.uint64(2) * np.arange(SYMBOLS // 2, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 #: Pairs verified together: their number takes the upper 12 bits of a key, 52 bits of gram hash the rest.
