@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("texts", "collections", "retrieval", "evaluation")
 FLAGSHIP = "search_end_to_end"
 
 
