@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("texts", "collections", "retrieval", "evaluation")
-FLAGSHIP = "search_end_to_end"
+FLAGSHIP = "search_samples"
 
 
 def _all(name: str) -> dict:

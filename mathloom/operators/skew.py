@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds at least this share of all rows, so there are at most 1000 hot keys.
@@ -20,3 +20,31 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str,
     hot = F.broadcast(groups.where(F.col(n) >= limit).drop(n))
     cold = groups.where(F.col(n) < limit).drop(n)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+#: A hot key of a self-join is met by so many tasks.
+SALTS = 64
+#: One row id in so many takes part in the search for hot keys of a self-join.
+SAMPLED = 64
+
+
+def self_join(rows: DataFrame, key: str, row_id: str, per_id: int, total: int, condition: Column, columns: list[str]) -> DataFrame:
+    """Pairs of ``rows`` with the same ``key`` that meet ``condition``; the sides are called x and y, and the
+    result has x and y versions of ``columns`` as x_... and y_....
+
+    The rows are shuffled once for both sides. Keys that hold many rows in a sample of row ids (``per_id``
+    keys an id, ``total`` ids) take another way: their left rows are spread over SALTS tasks and their
+    right rows copied to each. There are at most per_id / HOT_SHARE such keys, so they are broadcast; the
+    sample only picks the way, no pair depends on it.
+    """
+    limit = max(8.0, total * HOT_SHARE / SAMPLED)
+    sample = rows.where(F.pmod(F.xxhash64(row_id), F.lit(SAMPLED)) == 0)
+    hot = F.broadcast(sample.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= limit).select(key))
+    out = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in columns]
+    once = rows.join(hot, key, "left_anti").repartition(key)
+    cold = once.alias("x").join(once.alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}")).where(condition).select(*out)
+    many = rows.join(hot, key)
+    left = many.withColumn("salt", F.pmod(F.xxhash64(row_id, F.lit(1)), F.lit(SALTS))).alias("x")
+    right = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("y")
+    same = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.salt") == F.col("y.salt"))
+    return cold.unionByName(left.join(right, same).where(condition).select(*out))

@@ -85,7 +85,7 @@ SELECT pos, CASE WHEN rid IS NULL THEN CASE WHEN cm THEN 'cm17k' ELSE 'ape' END
   typed AS type, ans, e AS equation
 FROM t WHERE regexp_replace(t, '[\s\p{{Z}}\p{{Cc}}\\${{}}&]', '', 'g') <> ''""",
     "competition_problems": rf"""
-WITH r AS (SELECT *, regexp_replace(problem, {_TRIM}) p, regexp_extract(path, '(?:^|[/_])(train|test|valid|val)(?:[/_.]|$)', 1) s0,
+WITH r AS (SELECT *, regexp_replace(problem, {_TRIM}) p, coalesce(nullif(regexp_extract(path, '_(train|test|valid|val)\.[^./]*$', 1), ''), regexp_extract(path, '^(?:.*/)?(train|test|valid|val)/', 1)) s0,
     coalesce(nullif(replace(regexp_extract(path, '([^/]+)/[^/]+$', 1), '_', ' '), ''), nullif(type, ''), 'unknown') subject,
     regexp_extract(path, '([^/]+?)(?:\.[^./]*)?$', 1) AS file FROM math_raw WHERE solution IS NOT NULL AND problem IS NOT NULL),
   s AS (SELECT *, CASE WHEN s0 = 'val' THEN 'valid' ELSE s0 END sp, regexp_replace(regexp_replace(lower(trim(subject)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') slug,

@@ -70,8 +70,7 @@ def known_tasks(spark: SparkSession, d: str) -> DataFrame:
 def looked_up_sources(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the log without a source take it from the manifest, else unknown."""
     ids = _tasks(spark, d).groupBy("id").agg(F.min("source").alias("source"))
-    rows = _log(spark, d).withColumn("source", F.when(F.col("row_id") % 3 != 0, F.col("source")))
-    return E.with_source(rows, ids).groupBy("source", "phase").agg(F.count("*").alias("n"))
+    return E.with_source(_log(spark, d), ids).groupBy("source", "phase").agg(F.count("*").alias("n"))
 
 
 def merged_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -144,14 +143,14 @@ WITH {_TASKS}, t AS (SELECT DISTINCT id, source FROM m) SELECT source, count(*)
   count(*) FILTER (NOT EXISTS (SELECT 1 FROM items i WHERE i.id = t.id)) skipped FROM t GROUP BY source""",
     "looked_up_sources": f"""
 WITH {_LOG}, {_TASKS}, i AS (SELECT id, min(source) s FROM m GROUP BY id)
-SELECT coalesce(nullif(CASE WHEN row_id % 3 <> 0 THEN source END, ''), s, 'unknown') AS source, phase, count(*) n FROM l LEFT JOIN i USING (id) GROUP BY ALL""",
+SELECT coalesce(nullif(source, ''), s, 'unknown') AS source, phase, count(*) n FROM l LEFT JOIN i USING (id) GROUP BY ALL""",
     "merged_runs": f"""
 WITH {_LOG}, u AS (SELECT id, phase FROM l WHERE id IS NOT NULL AND (phase = 'image' OR (phase = 'text' AND id NOT IN (SELECT id FROM l WHERE phase = 'image' AND id IS NOT NULL))))
 SELECT phase, count(*) n, count(DISTINCT id) ids FROM u GROUP BY phase""",
     "result_relations": f"""
-WITH {_LOG}, r AS (SELECT id, unnest(results) r, unnest(range(1, len(results) + 1)) place FROM l)
-SELECT r.relation relation, CAST(place AS INTEGER) place, count(*) n, count(*) FILTER (r.id = id) gold, round(avg(r.final), 6) AS "final", round(avg(r.surface), 6) surface,
-  round(avg(r.structure), 6) structure, round(avg(r.formula), 6) formula FROM r GROUP BY ALL""",
+WITH {_LOG}, t AS (SELECT id, unnest(results) x, unnest(range(1, len(results) + 1)) place FROM l)
+SELECT x.relation relation, CAST(place AS INTEGER) place, count(*) n, count(*) FILTER (x.id = t.id) gold, round(avg(x.final), 6) AS "final", round(avg(x.surface), 6) surface,
+  round(avg(x.structure), 6) structure, round(avg(x.formula), 6) formula FROM t GROUP BY ALL""",
     "result_flags": f"""
 WITH {_LOG}, r AS (SELECT row_id, id gold, unnest(results) r, unnest(range(1, len(results) + 1)) place FROM l),
   s AS (SELECT row_id, bool_or(r.id = gold) hit, bool_or(r.id = gold AND place = 1) f, bool_or(r.id = gold AND r.relation = 'original') g,

@@ -65,6 +65,14 @@ def search_without_formula(spark: SparkSession, d: str) -> DataFrame:
     return S.search(_index(spark, d), S.prepare_queries(_probes(spark, d)), use_formula=False)
 
 
+def search_samples(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of the items of every source searched by their own text."""
+    items = _items(spark, d).withColumn("source", F.lower(F.trim("source")))
+    one = items.groupBy("id").agg(F.min("pos").alias("pos"), F.min("source").alias("source"), F.min_by("original_text", "pos").alias("text"))
+    sample = E.stratified_sample(one.where("text is not null"), "source", "id", dict.fromkeys(E.SOURCE_ORDER, 10))
+    return S.search(_index(spark, d), S.prepare_queries(sample.select(F.col("id").alias("qid"), "text")))
+
+
 def search_scored(spark: SparkSession, d: str) -> DataFrame:
     """Probes searched and held against the items that have their id."""
     tasks = _probes(spark, d).select("qid", F.col("qid").alias("gold"))
@@ -76,7 +84,7 @@ def sampled_eval(spark: SparkSession, d: str) -> DataFrame:
     return E.run_eval(_index(spark, d), limit=40)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_norms, tfidf_topk, candidates_classified, search_end_to_end, search_without_formula, search_scored, sampled_eval)}
+QUERIES = {f.__name__: f for f in (tfidf_vocab, tfidf_norms, tfidf_topk, candidates_classified, search_end_to_end, search_without_formula, search_samples, search_scored, sampled_eval)}
 
 _TERMS = "unnest(list_concat(" + ", ".join(f"list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))" for n in I.SIZES) + ")) gram"
 _VOCAB = f"""

@@ -93,7 +93,8 @@ def competition_problems(raw: DataFrame) -> DataFrame:
     """Items of math from rows (path, problem, level, type, solution); split, subject and file name come
     from the path. Rows without problem or solution are no records."""
     rows = raw.where((T.trimmed(F.coalesce("problem", F.lit(""))) != "") & F.col("solution").isNotNull())
-    split = F.regexp_extract("path", r"(?:^|[/_])(train|test|valid|val)(?=[/_.]|$)", 1)
+    named = F.regexp_extract("path", r"_(train|test|valid|val)\.[^./]*$", 1)
+    split = F.coalesce(_filled(named), F.regexp_extract("path", r"^(?:.*/)?(train|test|valid|val)/", 1))
     split = F.when(split == "val", "valid").otherwise(split)
     folder = F.replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit("_"), F.lit(" "))
     subject = F.coalesce(_filled(folder), _filled(F.col("type")), F.lit("unknown"))
