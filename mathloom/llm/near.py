@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from mathloom.llm import shingles as S
 from mathloom.llm.tables import label, read
 from mathloom.operators.components import connected_components
-from mathloom.operators.skew import join_to_groups
+from mathloom.operators.skew import join_to_groups, self_join
 from mathloom.storage import drop, materialize
 
 #: Characters of text that are sketched at once in a Python worker.
@@ -141,11 +141,10 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     classes = sk.groupBy("field", "h1", "h2").agg(F.min("pos").alias("rep"), F.count("*").alias("n"))
     reps = sk.join(classes.select("field", F.col("rep").alias("pos")), ["field", "pos"])
     sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
-    left = sigs.select("sig", F.col("field"), F.col("pos").alias("a"), F.col("fp1").alias("a1"), F.col("fp2").alias("a2"))
-    right = sigs.select("sig", F.col("field").alias("field_b"), F.col("pos").alias("b"), F.col("fp1").alias("b1"), F.col("fp2").alias("b2"))
-    near = _differing_symbols("a1", "b1") + _differing_symbols("a2", "b2") <= MAX_SYMBOLS
-    pairs = left.join(right, "sig").where((F.col("field") == F.col("field_b")) & (F.col("a") < F.col("b")) & near)
-    pairs = materialize(pairs.select("field", "a", "b").distinct(), "pairs")
+    near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
+    same_field = F.col("x.field") == F.col("y.field")
+    met = self_join(sigs, "sig", "pos", PARTS * CELLS, sk.count(), same_field & (F.col("x.pos") < F.col("y.pos")) & near, ["field", "pos"])
+    pairs = materialize(met.select(F.col("x_field").alias("field"), F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
     texts = rows.select("pos", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))).alias("t"))
     links = materialize(verified(pairs, texts.select("pos", "t.field", "t.text"), ["field"], threshold), "links")
     drop(pairs)
