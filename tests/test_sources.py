@@ -24,8 +24,7 @@ def test_file_layouts(spark, tmp_path):
     assert {"7", "9"} <= got.keys() and "8" not in got
     m = got["math-train-algebra-1"]
     assert m.kind == "function" and m.ans == "30" and "asy" not in m.original_text
-    items = R.geometry_problems(spark.read.json(spark.sparkContext.parallelize([(geo / "data.json").read_text()])))
-    g = items.first()
+    g = files.read_source(spark, str(tmp_path / "g")).first()
     assert (g.id, g.original_text, g.ans, g.split) == ("g3k-12", "Find x.", "2", "train") and "Triangle" in g.normalized_text
 
 
