@@ -9,6 +9,7 @@ against others, so copies never meet each other in a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +140,17 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     """
     sk = materialize(sketch_table(rows, fields, PARTS * CELLS, 16), "sketches")
     classes = sk.groupBy("field", "h1", "h2").agg(F.min("pos").alias("rep"), F.count("*").alias("n"))
-    reps = sk.join(classes.select("field", F.col("rep").alias("pos")), ["field", "pos"])
+    reps = sk.join(classes.select("field", F.col("rep").alias("pos")), ["field", "pos"]).select("field", "pos", "fp1", "fp2", "mins")
+    reps = materialize(reps, "reps")
     sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
     near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
     same_field = F.col("x.field") == F.col("y.field")
     met = self_join(sigs, "sig", "pos", PARTS * CELLS, sk.count(), same_field & (F.col("x.pos") < F.col("y.pos")) & near, ["field", "pos"])
     pairs = materialize(met.select(F.col("x_field").alias("field"), F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
-    texts = rows.select("pos", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))).alias("t"))
-    links = materialize(verified(pairs, texts.select("pos", "t.field", "t.text"), ["field"], threshold), "links")
+    drop(reps)
+    # a union and no explode, so that both sides of the verification share one shuffle of the texts
+    texts = reduce(DataFrame.union, (rows.select("pos", F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))
+    links = materialize(verified(pairs, texts.where("text is not null"), ["field"], threshold), "links")
     drop(pairs)
     return sk, classes, links
 
