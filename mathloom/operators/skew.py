@@ -23,7 +23,7 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str,
 
 
 #: A hot key of a self-join is met by so many tasks.
-SALTS = 64
+SALTS = 16
 #: One row id in so many takes part in the search for hot keys of a self-join.
 SAMPLED = 64
 
