@@ -50,7 +50,7 @@ def task_counts(spark: SparkSession, d: str) -> DataFrame:
 def task_sample(spark: SparkSession, d: str) -> DataFrame:
     """The task set: a fixed number of rows of each source in hash order."""
     one = _tasks(spark, d).groupBy("id").agg(F.min("source").alias("source"), F.min("kind").alias("kind"))
-    return E.stratified_sample(one, "source", "id", {k: max(1, v // 40) for k, v in QUOTA.items()})
+    return E.stratified_sample(one, "source", "id", QUOTA)
 
 
 def pending_tasks(spark: SparkSession, d: str) -> DataFrame:

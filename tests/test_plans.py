@@ -1,6 +1,6 @@
 from types import SimpleNamespace
 
-from mathloom.plans import retrieval
+from mathloom.plans import evaluation, retrieval
 
 
 def test_searches_ask_the_whole_sample(spark, tmp_path, monkeypatch):
@@ -15,3 +15,12 @@ def test_searches_ask_the_whole_sample(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval.E, "search", lambda index, queries, *a: queries.limit(0).selectExpr("qid", *none))
     got = retrieval.sampled_eval(spark, str(tmp_path)).first()
     assert (got.samples, got.variant_samples) == (200, 200)
+
+
+def test_task_sample_takes_the_whole_quota(spark, tmp_path):
+    """Sources with more rows than their quota give the quota, others all rows."""
+    have = {"ape": 1400, "cm17k": 4600, "geometry3k": 50, "math": 3321, "other": 9}
+    rows = [(f"{s}-{i}", f" {s.upper()}", "algebra") for s, n in have.items() for i in range(n)]
+    spark.createDataFrame([*rows, rows[0]], "id string, source string, kind string").write.parquet(str(tmp_path / "task_manifest.parquet"))
+    got = evaluation.task_sample(spark, str(tmp_path)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"ape": 1328, "cm17k": 4554, "geometry3k": 50, "math": 3321}
