@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,11 +90,14 @@ def markup_kinds(text: str | None, field: str) -> list[str]:
 
     Formulas of original_text are content; in normalized_text any LaTeX command is markup.
     """
-    trigger, kinds, latex = _patterns()
+    trigger = _patterns()[0]
     if not text or not trigger.search(text):
         return []
-    if not text.isascii():
-        text = consistent(text)
+    return _kinds(text if text.isascii() else consistent(text), field)
+
+
+def _kinds(text: str, field: str) -> list[str]:
+    _, kinds, latex = _patterns()
     bare = FORMULA.sub(" \ufffc ", text) if field == "original_text" and _ANY_MATH.search(text) else text
     found = [k for k, p in kinds.items() if p.search(bare)]
     if "markdown" not in found and "**" in bare and _is_bold(bare):
@@ -103,24 +107,92 @@ def markup_kinds(text: str | None, field: str) -> list[str]:
     return sorted(found)
 
 
+# Heading levels of LaTeX, commands that only set type or space, and the signs of commands.
+_LEVELS = {"title": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+_SILENT = (
+    "left right big Big bigg Bigg bigl bigr Bigl Bigr middle displaystyle textstyle scriptstyle limits nolimits mathrm mathbf mathit mathsf mathtt mathcal mathbb "
+    "mathfrak boldsymbol operatorname text mbox hbox textnormal overline widehat widetilde hat bar vec tilde dot ddot phantom boxed tag rm sf tt sl sc em "
+    "normalsize Large LARGE Huge quad qquad " + _TEXT_COMMANDS
+).split()
+_GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa mu nu xi pi rho sigma tau upsilon phi chi psi omega"
+_SIGNS = {
+    "times": "×", "div": "÷", "cdot": "·", "pm": "±", "mp": "∓", "ast": "*", "le": "≤", "leq": "≤", "leqslant": "≤", "ge": "≥", "geq": "≥", "geqslant": "≥", "ne": "≠", "neq": "≠",
+    "lt": "<", "gt": ">", "approx": "≈", "equiv": "≡", "sim": "∼", "cong": "≅", "angle": "∠", "measuredangle": "∡", "triangle": "△", "circ": "°", "degree": "°", "perp": "⊥",
+    "parallel": "∥", "odot": "⊙", "infty": "∞", "in": "∈", "notin": "∉", "subset": "⊂", "subseteq": "⊆", "cup": "∪", "cap": "∩", "emptyset": "∅", "therefore": "∴", "because": "∵",
+    "to": "→", "rightarrow": "→", "leftarrow": "←", "Rightarrow": "⇒", "Leftrightarrow": "⇔", "ldots": "...", "cdots": "...", "dots": "...", "sum": "∑", "prod": "∏", "int": "∫",
+    "sqrt": "√", "lfloor": "⌊", "rfloor": "⌋", "lceil": "⌈", "rceil": "⌉", "mid": "|", "prime": "′", "backslash": "", "partial": "∂", "forall": "∀", "exists": "∃", "bmod": "mod",
+    **{w: unicodedata.lookup(f"GREEK SMALL LETTER {w.upper()}") for w in _GREEK.split()},
+    **{w.capitalize(): unicodedata.lookup(f"GREEK CAPITAL LETTER {w.upper()}") for w in _GREEK.split()},
+    "varphi": "φ", "varepsilon": "ε", "lambda": "λ", "Lambda": "Λ", **dict.fromkeys(_SILENT, ""),
+    **{w: w for w in "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh log ln lg exp lim max min gcd lcm det dim arg mod sup inf deg ker".split()},
+}
+_PREFIXES = re.compile("|".join(sorted(_SIGNS, key=len, reverse=True)))
+_INLINE = [
+    (re.compile(r"\\(?:text\w\w|emph|underline|href\{[^{}]*\}|url|caption)\{([^{}]*)\}"), r"\1"),
+    (re.compile(r"\{\\(?:bf|it|rm|sf|tt|sl|sc|em|tiny|small|footnotesize|large|huge)(?![A-Za-z])\s*([^{}]*)\}"), r"\1"),
+    (re.compile(r"\\footnote(?:\[[^\]]*\])?\{([^{}]*)\}"), lambda m: f" ({m[1].strip()})" if m[1].strip() else ""),
+]
+_TEXT_LEFT = [
+    (re.compile(rf"\\(?:{'|'.join(_TEXT_COMMANDS.split())})(?![A-Za-z])\*?(?:\[[^\]]*\])?\{{([^{{}}]*)\}}"), r"\1"),
+    (re.compile(rf"\\(?:{'|'.join(_TEXT_COMMANDS.split())})(?![A-Za-z])\*?[ \t]?"), ""),
+]
+_BARE_LEFT = [
+    (re.compile(r"\\[dtc]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}"), r"(\1/\2)"),
+    (re.compile(r"\\[dtc]?frac\s*(\d)\s*(\d)"), r"(\1/\2)"),
+    (re.compile(r"\\[dt]?binom\s*\{([^{}]*)\}\s*\{([^{}]*)\}"), r"C(\1,\2)"),
+    (re.compile(r"\\sqrt\s*\[([^\[\]]*)\]\s*\{([^{}]*)\}"), r"√[\1](\2)"),
+    (re.compile(r"\\sqrt\s*\{([^{}]*)\}"), r"√(\1)"),
+    (re.compile(r"\\pmod\s*\{([^{}]*)\}"), r"(mod \1)"),
+]
+_WITH_ARGUMENT = re.compile(r"\\([A-Za-z]+)\*?\{([^{}]*)\}")
+
+
+def _all_of(subs: list[tuple[re.Pattern, object]], t: str) -> str:
+    """The rules again and again until nothing changes, from the innermost braces."""
+    was = None
+    while was != t:
+        was = t
+        for p, to in subs:
+            t = p.sub(to, t)
+    return t
+
+
+def _sign(name: str, cut: bool) -> str:
+    """The sign of a command, an unknown one its name. ``cut``: blanks are gone and other letters may follow the name."""
+    if name in _SIGNS or not cut:
+        return _SIGNS.get(name, name)
+    known = _PREFIXES.match(name)
+    return _SIGNS[known.group()] + name[known.end() :] if known else name
+
+
+def _without_commands(t: str, cut: bool) -> str:
+    """Every command outside formulas by its sign, argument or name."""
+    t = re.sub(r"\^\s*(?:\{\s*\\circ\s*\}|\\circ(?![A-Za-z]))", "°", t)
+    named = (_WITH_ARGUMENT, lambda m: ("" if m[1] not in _SIGNS and not cut else _sign(m[1], cut)) + m[2])
+    t = _all_of([*_BARE_LEFT, named], t)
+    return re.sub(r"\\([A-Za-z]+)\*?" if cut else r"\\([A-Za-z]{2,})\*?", lambda m: _sign(m[1], cut), t)
+
+
 _SUBS: list[tuple[re.Pattern, object]] = [
     (re.compile(r"<!--.*?-->", re.S), ""),
     (re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I), ""),
-    (re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.S | re.I), lambda m: f"\n\u241e{m[2].strip()}\n"),
+    (re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.S | re.I), lambda m: f"\n\u241e{m[1]}{m[2].strip()}\n"),
     (re.compile(r"<li\b[^<>]*>", re.I), "\n• "),
     (re.compile(r"</(?:td|th)\s*>\s*(?=<t[dh]\b)", re.I), "\t"),
     (re.compile(r"<img\b[^<>]*?\balt\s*=\s*\"([^\"]*)\"[^<>]*>", re.I), r"\1"),
-    (re.compile(r"<ref\b[^<>]*>.*?</ref\s*>|<ref\b[^<>]*/>", re.S | re.I), ""),
+    (re.compile(r"<ref\b[^<>]*/>", re.I), ""),
+    (re.compile(r"<ref\b[^<>]*>(.*?)</ref\s*>", re.S | re.I), lambda m: f" ({m[1].strip()})" if m[1].strip() else ""),
     (re.compile(r"</?(?:br|p|div|ol|ul|table|tr|blockquote|hr|section|article|pre|li)\b[^<>]*>", re.I), "\n"),
     (re.compile(_TAG, re.I), ""),
-    (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}|\\(?:title|chapter|paragraph)\*?\{([^{}]*)\}"), lambda m: f"\n\u241e{m[1] or m[2]}\n"),
-    (re.compile(r"\\footnote\{[^{}]*\}|\\(?:label|cite|ref|vspace|hspace|setlength)\*?\{[^{}]*\}"), " "),
+    (re.compile(r"\\(title|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}]*)\}"), lambda m: f"\n\u241e{_LEVELS[m[1]]}{m[2]}\n"),
+    (re.compile(r"\\(?:label|cite|ref|vspace|hspace)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\setlength\{[^{}]*\}\{[^{}]*\}"), " "),
+    (re.compile(r"\\(?:usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}"), "\n"),
+    (re.compile(r"\\(?:author|date)\{([^{}]*)\}"), r"\n\1\n"),
     (re.compile(r"\\item\b\s*(?:\[[^\]]*\])?"), "\n• "),
-    (re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?"), "\n"),
-    (re.compile(r"\\(?:text\w\w|emph|underline|texttt|href\{[^{}]*\}|url|caption)\{([^{}]*)\}"), r"\1"),
-    (re.compile(r"\\(?:noindent|centering|par|newline|indent|medskip|bigskip|smallskip|hfill|maketitle)\b\s?|\\\\"), "\n"),
+    (re.compile(r"\\begin\{(?:tabular|array)\*?\}(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?"), "\n"),
+    (re.compile(r"\\(?:noindent|centering|par|newline|newpage|clearpage|pagebreak|indent|medskip|bigskip|smallskip|hfill|vfill|maketitle|hline)(?![A-Za-z])\s?|\\\\"), "\n"),
     (re.compile(r"(?m)^[ \t]*\{\|.*$|^[ \t]*\|[-}].*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$"), ""),
-    (re.compile(r"(?m)^={2,6}[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*$|^[ ]{0,3}#{1,6}[ \t]+(\S.*?)[ \t#]*$"), lambda m: f"\u241e{m[1] or m[2]}"),
+    (re.compile(r"(?m)^(={2,6})[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*$|^[ ]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t#]*$"), lambda m: f"\u241e{len(m[1] or m[3])}{m[2] or m[4]}"),
     (re.compile(r"(?m)^[ ]{0,3}>[ \t]+"), ""),
     (re.compile(r"(?m)^[ \t]*[-*+][ \t]+(?=\S)"), "• "),
     (re.compile(r"(?m)^[ \t]*\|(.*?)\|?[ \t]*$"), lambda m: "\t".join(c.strip() for c in re.split(r"\|{1,2}", m[1]))),
@@ -133,18 +205,21 @@ _SUBS: list[tuple[re.Pattern, object]] = [
     (re.compile(r"(?<![\w*)])\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*(?![\w*(])"), r"\1"),
 ]
 _CODE = re.compile(r"```[ \t]*\w*\n?(.*?)```|`([^`\n]+)`|<(pre|code)\b[^<>]*>(.*?)</\3\s*>", re.S | re.I)
+_VERB = re.compile(r"\\verb\*?([^A-Za-z*\s{])(.*?)\1")
 _HEADING, _HELD = "\u241e", re.compile("\ufff9(\\d+)\ufffa")
 
 
-def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[str, str]] | None:
-    """(kind, text) of each block: heading, item, code, formula or text. Null gives null, an empty text
+def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[str, str, int | None]] | None:
+    """(kind, text, level) of each block: heading, item, code, formula or text; only headings have a level, from 1. Null gives null, an empty text
     no block; a text without markup is one block of text, unchanged."""
     if text is None:
         return None
     if not text.strip():
         return []
     if not markup_kinds(text, field):
-        return [("text", text)]
+        return [("text", text, None)]
+    if not text.isascii() and _kinds(text, field) != _kinds(plain := consistent(text), field):
+        text = plain  # its markup is only recognised in consistent characters
     held: list[tuple[str, str]] = []
 
     def hold(kind: str, s: str) -> str:
@@ -156,14 +231,15 @@ def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[s
         return f"\n{hold('code', block.strip(chr(10)))}\n" if block is not None else hold("inline", m[2] or m[4] or "")
 
     t = _CODE.sub(code, re.sub("[\ufff9\ufffa\u241e]", "", text))
+    bare = field == "normalized_text" or not _ANY_MATH.search(t)
     t = FORMULA.sub(lambda m: hold("formula", m.group()), t) if field == "original_text" else t
+    t = _all_of(_INLINE, _VERB.sub(lambda m: hold("inline", m[2]), t))
     for p, to in _SUBS:
         t = p.sub(to, t)
     if _is_bold(t):
         t = re.sub(r"\*\*(?!\d)|(?<![\w)])\*\*", "", t)
-    if field == "normalized_text":
-        t = re.sub(r"\\text\w\w\{?", "", t)
-        t = re.sub(r"\\d?frac\{?", "frac", t)
+    t = _all_of(_TEXT_LEFT, t)
+    t = _without_commands(t, field == "normalized_text") if bare and "\\" in t else t
     t = html.unescape(t).replace("\xa0", " ")
     blocks = []
     for line in t.split("\n"):
@@ -174,21 +250,22 @@ def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[s
         whole = _HELD.fullmatch(line)
         if whole and held[int(whole[1])][0] in ("code", "formula"):
             kind = held[int(whole[1])][0]
-        line = line.lstrip(_HEADING).strip() if kind == "heading" else line[2:].strip() if kind == "item" else line
+        level = int(line[1]) if kind == "heading" else None
+        line = line[2:].replace(_HEADING, "").strip() if kind == "heading" else line[2:].strip() if kind == "item" else line
         while _HELD.search(line):
             line = _HELD.sub(lambda m: held[int(m[1])][1], line)
         if line:
-            blocks.append((kind, line))
+            blocks.append((kind, line, level))
     return blocks
 
 
 def clean_text(text: str | None, field: str = "original_text") -> str | None:
     """The blocks of a text, one a line; items begin with a bullet."""
     blocks = clean_blocks(text, field)
-    return None if blocks is None else "\n".join("• " + t if kind == "item" else t for kind, t in blocks)
+    return None if blocks is None else "\n".join("• " + t if kind == "item" else t for kind, t, _ in blocks)
 
 
-_OUT = "pos long, field string, kinds array<string>, blocks array<struct<kind:string, text:string>>, clean_text string"
+_OUT = "pos long, field string, kinds array<string>, blocks array<struct<kind:string, text:string, level:int>>, clean_text string"
 
 
 def without_markup(items: DataFrame, only_marked: bool = False) -> DataFrame:
@@ -206,10 +283,10 @@ def without_markup(items: DataFrame, only_marked: bool = False) -> DataFrame:
                     kinds = markup_kinds(t, field)
                     if kinds or not only_marked:
                         blocks = clean_blocks(t, field)
-                        text = None if blocks is None else "\n".join("• " + x if kind == "item" else x for kind, x in blocks)
-                        out.append((p, field, kinds, None if blocks is None else [{"kind": x, "text": y} for x, y in blocks], text))
+                        text = None if blocks is None else "\n".join("• " + x if kind == "item" else x for kind, x, _ in blocks)
+                        out.append((p, field, kinds, None if blocks is None else [{"kind": x, "text": y, "level": n} for x, y, n in blocks], text))
             cols = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("level", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["pos", "field", "kinds", "blocks", "clean_text"])
 
     return items.select("pos", *FIELDS).mapInArrow(run, _OUT)
