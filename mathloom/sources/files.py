@@ -75,17 +75,22 @@ def detect_source(path: str | Path) -> str:
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, record): every JSON object below a path as text, in order of file and place. Lines of .jsonl
-    files, elements of arrays, and values of keyed objects are records; cut lines are left out."""
+    """(path, n, record, lined): every JSON object below a path as text, in order of file and place. Lines of .jsonl
+    files and of .json files that hold one object a line (lined), elements of arrays, and values of keyed objects are
+    records; cut lines are left out."""
     whole = spark.read.text(str(path), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("*", F.col("_metadata.file_path").alias("path"))
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(v)
+    opens = lambda x: x.rlike(r"^\s*\{")
+    each = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"\S"))
+    lined = (F.size(each) >= 2) & F.forall(F.slice(each, 1, 3), opens)  # as in looks_like_lines
     listed = F.from_json("value", "array<string>")
     keyed = F.map_values(F.from_json("value", "map<string,string>"))
     own = F.when(kind.startswith("ARRAY"), listed).when(F.exists(F.map_keys(F.from_json("value", "map<string,string>")), lambda k: k.isin("id", "pid", "original_text", "problem", "problem_text", "annotat_text")), F.array("value")).otherwise(keyed)
-    objects = whole.select("path", F.posexplode(own).alias("n", "record"))
+    own = F.when(lined, F.filter(each, opens)).otherwise(own)
+    objects = whole.select("path", lined.alias("lined"), F.posexplode(own).alias("n", "record")).select("path", "n", "record", "lined")
     lines = spark.read.text(str(path), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("*", F.col("_metadata.file_path").alias("path"))
-    lines = lines.select("path", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^\s*\{"))).alias("n", "record"))
+    lines = lines.select("path", F.posexplode(F.filter(F.split("value", "\n"), opens)).alias("n", "record"), F.lit(True).alias("lined"))
     return objects.where(F.trim("record").startswith("{")).unionByName(lines).where(F.try_parse_json("record").isNotNull())
 
 
@@ -113,11 +118,12 @@ def read_source(spark: SparkSession, path: str, source: str | None = None) -> Da
         return R.word_problems(rows.select(F.col("pos").alias("line_no"), F.lit(source).alias("source"), "record"))
     if source == "math":
         name = F.regexp_extract("path", r"([^/]+)$", 1)
-        r = rows.where(~name.isin(SKIPPED)).withColumn("r", F.from_json("record", _MATH)).select("pos", "path", "n", "r.*")
-        stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+        r = rows.where(~name.isin(SKIPPED)).withColumn("r", F.from_json("record", _MATH)).select("pos", "path", "n", "lined", "r.*")
+        stem = F.regexp_extract("path", r"([^/]+(?:\.jsonl|_(?:train|test|valid|val)\.json))$", 1)
+        stem = F.when(F.col("lined"), F.regexp_replace(stem, r"\.jsonl?$", "")).otherwise("")
         subject = F.replace(F.regexp_replace(stem, "_(train|test|valid|val)$", ""), F.lit("_"), F.lit(" "))
         split = F.regexp_extract(stem, "_(train|test|valid|val)$", 1)
-        place = F.when(stem != "", F.concat_ws("/", split, subject, F.col("n").cast("string"))).otherwise(F.col("path"))
+        place = F.when(stem != "", F.concat_ws("/", split, subject, F.col("n").cast("string"))).when(F.col("lined"), F.concat(F.regexp_replace("path", "[^/]+$", ""), F.col("n").cast("string"))).otherwise(F.col("path"))
         return R.competition_problems(r.withColumn("path", place))
     if source == "geometry3k":
         r = rows.withColumn("r", F.from_json("record", _GEOMETRY)).select("pos", "path", "r.*").withColumn("choices", F.coalesce("choices", "compact_choices"))

@@ -40,3 +40,18 @@ def test_first_of_each(spark):
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "x long, y long")
     assert {r.node: r.component for r in connected_components(df, "x", "y").collect()} == want
+
+
+def test_json_files_with_one_object_a_line(spark, tmp_path):
+    ape = tmp_path / "x.ape.json"
+    ape.write_text('{"id": "1", "original_text": "有5个"}\n\n{"id": "2", "original_text": "有6个"}\r\n{"id": "3", "original_text": "有7个"}\n{"id": "4", "origi\n')
+    got = files.read_source(spark, str(ape)).select("id", "original_text").orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [("1", "有5个"), ("2", "有6个"), ("3", "有7个")]
+    math = tmp_path / "m" / "train" / "algebra"
+    math.mkdir(parents=True)
+    two = "".join(json.dumps({"problem": f"Find {n}.", "level": "Level 1", "type": "Algebra", "solution": f"\\boxed{{{n}}}"}) + "\n" for n in (1, 2))
+    (math / "all.json").write_text(two)
+    (math / "geometry_test.json").write_text(two)
+    got = files.read_source(spark, str(tmp_path / "m")).select("id", "ans").collect()
+    want = {("math-train-algebra-0", "1"), ("math-train-algebra-1", "2"), ("math-test-geometry-0", "1"), ("math-test-geometry-1", "2")}
+    assert {tuple(r) for r in got} == want
