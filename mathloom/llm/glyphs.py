@@ -27,11 +27,11 @@ FIELDS = ("original_text", "normalized_text")
 MIN_CHARS = 20
 
 # Cyrillic and Greek letters drawn like a Latin letter, each above its Latin letter.
-_LIKE = "АВЕЅІЈКМНОРСТХаеоурсхѕіјһԁԛԝԚԜѵѴӏҺΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳͿν"
-_LATIN = "ABESIJKMHOPCTXaeoypcxsijhdqwQWvVlhABEZHIKMNOPTYXojJv"
+_LIKE = "АВЕЅІЈКМНОРСТХаеоурсхѕіјһԁԛԝԚԜѵѴӏҺΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳͿνУҮϹϲ"
+_LATIN = "ABESIJKMHOPCTXaeoypcxsijhdqwQWvVlhABEZHIKMNOPTYXojJvYYCc"
 # Radicals of the supplement block and the ideographs they are forms of.
-_RADICALS = "⺁⺅⺉⺊⺒⺓⺖⺘⺙⺡⺣⺨⺭⺮⺯⺰⺶⺹⺼⺾⻁⻂⻄⻅⻆⻈⻉⻋⻌⻏⻐⻓⻔⻗⻘⻙⻚⻛⻜⻝⻠⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰"
-_IDEOGRAPHS = "厂亻刂卜巳幺忄扌攵氵灬犭礻竹糹纟羊耂肉艹虎衤西见角讠贝车辶阝钅长门雨青韦页风飞食饣马骨鬼鱼鸟卤麦黄齐齿龙"
+_RADICALS = "⺁⺂⺃⺄⺅⺆⺇⺈⺉⺊⺋⺌⺍⺎⺏⺐⺑⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣⺤⺥⺦⺧⺨⺩⺪⺫⺬⺭⺮⺯⺰⺱⺲⺳⺴⺵⺶⺷⺸⺹⺺⺻⺼⺽⺾⺿⻀⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻕⻖⻗⻘⻙⻚⻛⻜⻝⻞⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲"
+_IDEOGRAPHS = "厂乛乚乙亻冂𠘨刀刂卜㔾小小兀尣尢𡯂巳幺彑彐忄心扌攵旡日月歺民氵氺灬爫爫丬牛犭王𤴔目示礻竹糹纟罓罒㓁冗𦉫羊𦍌𦍋耂肀聿肉𦥑艹艹艹虎衤覀西见角𧢲讠贝𧾷车辶辶辶阝钅長镸长门𨸏阝雨青韦页风飞食𩙿飠饣𩠐马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀"
 
 
 def _single(c: str) -> str | None:
@@ -63,6 +63,11 @@ def table() -> dict[str, str]:
         if not 0xD800 <= o <= 0xDFFF and (to := _single(chr(o))) is not None:
             if made.setdefault(chr(o), to) != to:
                 raise ValueError(f"two outputs for U+{o:04X}")
+    for c in map(chr, range(0x80, 0x110000)):
+        if c not in made and unicodedata.decomposition(c)[:1] not in ("", "<"):
+            apart = unicodedata.normalize("NFD", c)
+            if (to := unicodedata.normalize("NFC", "".join(made.get(x, x) for x in apart))) != c:
+                made[c] = to  # an accented letter follows its base
     for src, dst in made.items():
         if any(c in made for c in dst):
             made[src] = "".join(made.get(c, c) for c in dst)
@@ -82,7 +87,9 @@ def _chars(found: set[str]) -> str:
 def transducer() -> Callable[[str], str]:
     """The compiled rewriting of a text. ASCII and empty texts stay as they are."""
     single = table()
-    marks = _chars({chr(o) for o in range(0x300, 0x20000) if unicodedata.combining(chr(o))})
+    combining = {chr(o) for o in range(0x300, 0x20000) if unicodedata.combining(chr(o))}
+    apart = (unicodedata.normalize("NFD", chr(o)) for o in range(0x80, 0x20000))
+    marks = _chars(combining | {x for t in apart for x in t[1:]})  # also vowel signs and Hangul letters that compose with what precedes
     gone = _chars({c for c, to in single.items() if to == ""})
     rewritten = _chars(set(single))
     match = re.compile(f"[^{marks}{gone}](?=[{gone}]*[{marks}])(?:[{gone}]*[{marks}])+|[{rewritten}]", re.S)
