@@ -16,8 +16,8 @@ def normalize_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strip_items(spark: SparkSession, d: str) -> DataFrame:
-    """The part of normalisation after NFKC and LaTeX: punctuation, blanks, dollars, on texts without a backslash."""
-    t = read(spark, d, "items").where("original_text is not null and not contains(original_text, '\\\\')")
+    """Normalisation without NFKC of every text."""
+    t = read(spark, d, "items").where("original_text is not null")
     return t.select("pos", T.normalize(F.col("original_text"), nfkc=False).alias("normalized"))
 
 

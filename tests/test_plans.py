@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
-from mathloom.plans import evaluation, retrieval
+from mathloom.functions import plain
+from mathloom.plans import evaluation, retrieval, texts
 
 
 def test_searches_ask_the_whole_sample(spark, tmp_path, monkeypatch):
@@ -24,3 +25,10 @@ def test_task_sample_takes_the_whole_quota(spark, tmp_path):
     spark.createDataFrame([*rows, rows[0]], "id string, source string, kind string").write.parquet(str(tmp_path / "task_manifest.parquet"))
     got = evaluation.task_sample(spark, str(tmp_path)).groupBy("source").count().collect()
     assert {r.source: r["count"] for r in got} == {"ape": 1328, "cm17k": 4554, "geometry3k": 50, "math": 3321}
+
+
+def test_strip_items_takes_every_text(spark, tmp_path):
+    found = [(1, r"Find $\frac{1}{2}$ of \sqrt{4}."), (2, "a b"), (3, None), (4, r"\angle A = 3")]
+    spark.createDataFrame(found, "pos long, original_text string").write.parquet(str(tmp_path / "items.parquet"))
+    got = {r.pos: r.normalized for r in texts.strip_items(spark, str(tmp_path)).collect()}
+    assert got == {p: plain.normalize(t) for p, t in found if t is not None}
