@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         Index.build(items).save(args.index)
         source_counts(spark.read.parquet(f"{args.index}/items")).show()
     elif args.command == "search":
-        query = prepare_queries(spark.createDataFrame([(0, args.text)], "qid int, text string"))
+        query = prepare_queries(spark.createDataFrame([(0, args.text)], "qid int, text string"), not args.no_formula)
         search(Index.load(spark, args.index), query, not args.no_formula).orderBy("place").show(truncate=80)
     else:
         evaluate.run_eval(Index.load(spark, args.index), args.limit, use_formula=not args.no_formula).show(vertical=True)

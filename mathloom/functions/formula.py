@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -44,6 +45,13 @@ def repaired(text: str) -> str:
     return _BRACKET.sub(lambda m: f"|{m[1]}|" if bars.search(m[1]) else m[0], text)
 
 
+def repaired_text(c: Column) -> Column:
+    """:func:`repaired` as a column expression."""
+    inner = r"[^\[\]\n]*"
+    bars = rf"\[[^\[\]]*?(?:[A-Za-z]{inner}\p{{Nd}}|\p{{Nd}}{inner}[A-Za-z]|[+\-])"
+    return F.regexp_replace(F.translate(c, "−–‐", "---"), rf"(?<!\\)(?={bars})\[([^\[\]]{{1,48}})\]", "|$1|")
+
+
 def _group_end(text: str, at: int) -> int:
     """Position after the balanced group in braces that begins at ``at``; -1 if it never closes."""
     depth = 0
@@ -206,14 +214,38 @@ def formula_features(text: pd.Series) -> pd.DataFrame:
 
 
 def compatible(query: str | None, item: str | None, threshold: float, contained: int = 12, lost: float = 0.80) -> bool:
-    """Do two template blobs describe the same formulas?"""
-    if not query or not item:
-        return not query and not item
-    if query == item or plain.likeness(query, item) >= threshold or set(query.split()) == set(item.split()):
-        return True
-    short, long = sorted((query.replace(" ", ""), item.replace(" ", "")), key=len)
-    if len(short) >= contained and short in long:
-        return True
-    right_q, right_i = query.split("=", 1)[-1], item.split("=", 1)[-1]
-    fraction = re.search(r"\(([^()/]+)/([^()]+)\)", right_i)
-    return bool("/" not in right_q and fraction and plain.likeness(right_q, fraction[2]) >= lost)
+    """Do two template blobs describe the same formulas? Both without a formula agree, one alone does not."""
+    if bool(query) != bool(item):
+        return False
+    return not query or any(test(query, item) for test in (_same_templates, _within(contained), _alike(threshold), _lost_bar(lost)))
+
+
+def _same_templates(query: str, item: str) -> bool:
+    return set(query.split()) == set(item.split())
+
+
+def _within(least: int):
+    """Is the shorter blob, of at least so many signs, a part of the longer one?"""
+
+    def test(query: str, item: str) -> bool:
+        q, i = "".join(query.split(" ")), "".join(item.split(" "))
+        return min(len(q), len(i)) >= least and (q in i or i in q)
+
+    return test
+
+
+def _alike(threshold: float):
+    return lambda query, item: plain.likeness(query, item) >= threshold
+
+
+_RATIO = re.compile(r"\(([^()/]+)/([^()]+)\)")
+
+
+def _lost_bar(threshold: float):
+    """Has the reader lost the fraction bar: is the right side of the query the denominator of the item's?"""
+
+    def test(query: str, item: str) -> bool:
+        side, ratio = query.split("=", 1)[-1], _RATIO.search(item.split("=", 1)[-1])
+        return ratio is not None and "/" not in side and plain.likeness(side, ratio[2]) >= threshold
+
+    return test

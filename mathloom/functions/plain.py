@@ -7,6 +7,7 @@ expressions of :mod:`text` against them.
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 
@@ -62,8 +63,12 @@ def grams(t: str, n: int = 3) -> set[str]:
     return {t[i : i + n] for i in range(max(1, len(t) - n + 1))} if t else set()
 
 
+#: Gram sets of the texts that a worker has seen last: a query meets many items.
+_grams = functools.lru_cache(4096)(lambda t: frozenset(grams(t)))
+
+
 def jaccard(a: str, b: str) -> float:
-    x, y = grams(a), grams(b)
+    x, y = _grams(a), _grams(b)
     return 1.0 if not x and not y else len(x & y) / len(x | y) if x and y else 0.0
 
 
@@ -84,12 +89,16 @@ def likeness(a: str, b: str) -> float:
 _NUMBER = re.compile(r"\d+(?:\.\d+)?%?")
 
 
+# A percentage moves on by so much within a range and from a least value; other numbers grow by so much.
+_PERCENT_STEP, _PERCENT_RANGE, _PERCENT_LEAST, _DECIMAL_STEP, _WHOLE_STEP = 17, 90, 5, 1.7, 13
+
+
 def _next_number(m: re.Match) -> str:
-    raw = m.group()
-    if raw.endswith("%"):
-        value = (float(raw[:-1]) + 17) % 90 + 5
-        return f"{value:.1f}%" if "." in raw else f"{int(value)}%"
-    return f"{float(raw) + 1.7:.1f}" if "." in raw else str(int(raw) + 13)
+    number, percent = m.group().removesuffix("%"), m.group().endswith("%")
+    if "." not in number and not percent:
+        return str(int(number) + _WHOLE_STEP)
+    value = (float(number) + _PERCENT_STEP) % _PERCENT_RANGE + _PERCENT_LEAST if percent else float(number) + _DECIMAL_STEP
+    return (f"{value:.1f}" if "." in number else str(int(value))) + "%" * percent
 
 
 def with_other_numbers(text: str | None) -> str | None:

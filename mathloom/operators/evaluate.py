@@ -157,7 +157,7 @@ def run_eval(index: Index, limit: int = 200, seed: int = 0, use_formula: bool =
     own = sample.select(F.concat(F.lit("o"), F.col("pos").cast("string")).alias("qid"), F.col("original_text").alias("text"), F.col("id").alias("gold"))
     other = sample.select(F.concat(F.lit("v"), F.col("pos").cast("string")).alias("qid"), with_other_numbers("original_text").alias("text"), F.col("id").alias("gold"))
     tasks = own.union(other.where("text is not null"))
-    flags = score(search(index, prepare_queries(tasks.select("qid", "text")), use_formula), tasks)
+    flags = score(search(index, prepare_queries(tasks.select("qid", "text"), use_formula), use_formula), tasks)
     o, v = flags.where("qid like 'o%'"), flags.where("qid like 'v%'")
     left = o.select("*", F.lit(0.0).alias("elapsed_s")).agg(*_rates(), F.coalesce(F.max("returned"), F.lit(0)).alias("max_returned"))
     right = v.agg(F.count("*").alias("variant_samples"), F.round(F.coalesce(F.try_divide(F.count_if("hit"), F.count("*")), F.lit(0.0)), 6).alias("variant_recall_at_3"))

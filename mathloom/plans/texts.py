@@ -102,7 +102,7 @@ def structure_sql(c: str) -> str:
     return f"array_to_string(list_transform({parts}, lambda p, i: {_mask('p')} || coalesce({words}[i], '')), '')"
 
 
-def _quoted(s: str) -> str:
+def quoted(s: str) -> str:
     return s.replace("'", "''")
 
 
@@ -112,7 +112,7 @@ def _grams(c: str) -> str:
 
 ORACLE = {
     "strip_items": rf"""
-SELECT pos, regexp_replace(regexp_replace(translate(translate(original_text, '{_quoted(T.PUNCT_FROM)}', '{_quoted(T.PUNCT_TO)}'), '&{{}}$', ' '),
+SELECT pos, regexp_replace(regexp_replace(translate(translate(original_text, '{quoted(T.PUNCT_FROM)}', '{quoted(T.PUNCT_TO)}'), '&{{}}$', ' '),
   '[\s\p{{Z}}\x1c-\x1f\x85]+', '', 'g'), '[\x0b]', '', 'g') AS normalized FROM items WHERE original_text IS NOT NULL AND NOT contains(original_text, '\')""",
     "structure_items": f"SELECT pos, {structure_sql('t')} AS structure FROM (SELECT pos, coalesce(normalized_text, '') t FROM items)",
     "quantity_tokens": r"""

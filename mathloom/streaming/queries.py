@@ -16,6 +16,6 @@ def answer_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, i
     between batches, so no watermark is needed; a batch may come again after a failure with the same number."""
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(search(index, prepare_queries(batch), use_formula), number)
+        sink(search(index, prepare_queries(batch, use_formula), use_formula), number)
 
     return queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
