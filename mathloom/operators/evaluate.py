@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mathloom.functions import plain
 from mathloom.operators.index import Index
-from mathloom.operators.search import prepare_queries, search
+from mathloom.operators.search import prepare_queries, search, search_images
+from mathloom.sources.files import image_manifest
+from mathloom.storage import materialize
 
 #: The order in which sources are reported; others follow by name.
 SOURCE_ORDER = ["ape", "cm17k", "geometry3k", "math"]
@@ -162,3 +164,13 @@ def run_eval(index: Index, limit: int = 200, seed: int = 0, use_formula: bool =
     left = o.select("*", F.lit(0.0).alias("elapsed_s")).agg(*_rates(), F.coalesce(F.max("returned"), F.lit(0)).alias("max_returned"))
     right = v.agg(F.count("*").alias("variant_samples"), F.round(F.coalesce(F.try_divide(F.count_if("hit"), F.count("*")), F.lit(0.0)), 6).alias("variant_recall_at_3"))
     return left.crossJoin(right)  # one row each
+
+
+def run_image_eval(index: Index, spark: SparkSession, folder: str, make_reader=None, use_formula: bool = True) -> DataFrame:
+    """Flags of every image of a folder's manifest (qid is its path): searched by what a reader finds in it and
+    held against its gold id. Images without text are empty answers."""
+    tasks = materialize(image_manifest(spark, folder).select(F.col("path").alias("qid"), "gold"), "tasks")
+    images = spark.read.format("image").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(folder)
+    plain_path = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two file sources spell local paths differently
+    shown = search_images(index, images, make_reader, use_formula=use_formula).withColumn("qid", plain_path("qid"))
+    return score(shown, tasks.withColumn("qid", plain_path("qid")))

@@ -1,9 +1,17 @@
+import struct
+import zlib
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from mathloom import storage
 from mathloom.config import SearchConfig
-from mathloom.functions import figure, plain
+from mathloom.functions import figure, formula, grams, plain
 from mathloom.functions import text as T
 from mathloom.operators import evaluate as E
 from mathloom.operators import index as I
@@ -38,12 +46,10 @@ def answers(spark, index, texts, **kw):
 
 @pytest.mark.parametrize("use_formula", [True, False])
 def test_originals_first_then_variants(spark, index, use_formula):
-    got = answers(spark, index, {"a": GALLERY["circle-a"], "b": GALLERY["circle-b"], "v": VARIANT, "e": " "}, use_formula=use_formula) if False else answers(
-        spark, index, {"a": GALLERY["circle-a"], "b": GALLERY["circle-b"], "v": VARIANT}, use_formula=use_formula
-    )
+    got = answers(spark, index, {"a": GALLERY["circle-a"], "b": GALLERY["circle-b"], "v": VARIANT, "e": " "}, use_formula=use_formula)
     assert got["a"] == [("circle-a", "original"), ("circle-b", "variant")]
     assert got["b"] == [("circle-b", "original"), ("circle-a", "variant")]
-    assert got["v"] == [("school", "variant")]
+    assert got["v"] == [("school", "variant")] and got["e"] == []
 
 
 def test_recall_equals_brute_force(spark, index):
@@ -127,3 +133,126 @@ def test_figures():
     assert figure.merged_boxes([(0, 0, 5, 5), (8, 0, 12, 5), (100, 100, 110, 110)], 4) == [(0, 0, 12, 5), (100, 100, 110, 110)]
     assert len(figure.component_boxes(np.eye(5, dtype=bool))) == 1
     assert figure.mean_vector([]) is None and figure.fitted(page, 100).shape == (67, 100, 3)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=12), st.sampled_from(["", "a", "aaaa", "a\x00", "苔岚苔岚"])), max_size=6))
+def test_grams_equal_a_dictionary(texts):
+    got: dict = {}
+    for owner, g, count, names in grams.counted(texts):
+        for o, i, c in zip(owner.tolist(), g.tolist(), count.tolist()):
+            assert (o, names[i]) not in got
+            got[o, names[i]] = c
+    want = Counter((o, t[i : i + n]) for o, t in enumerate(texts) if t for n in grams.SIZES for i in range(len(t) - n + 1))
+    assert got == dict(want)
+
+
+def test_grams_of_a_huge_alphabet():
+    text = "".join(map(chr, range(0x20000, 0x30100)))
+    (_, _, count, names), = grams.counted([text])
+    assert count.sum() == 3 * len(text) - 6 and names[1] == text[1:3]
+
+
+@pytest.mark.parametrize("text", ["[5x - 1] = [3x + 2]", "在[2, 6]内", r"\[x+1\]", "a–b − c", "[x\n1]", "[[x1]]", "[" + "x1" * 25 + "]", None, ""])
+def test_repair_of_queries_equals_the_plain_rule(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(formula.repaired_text(F.col("t"))).first()[0]
+    assert got == (None if text is None else formula.repaired(text))
+
+
+def test_recall_by_figure_alone_and_all_items(spark):
+    v, w = [1.0] + [0.0] * 255, [0.0] * 255 + [1.0]
+    nan = [float("nan")] * 256
+    rows = [(0, "abcd", None), (1, "wxyz", v), (2, "mnop", w), (3, "qrst", nan), (4, "", v), (5, "uvwx", [1.0, 2.0])]
+    items = spark.createDataFrame(rows, "pos long, structure_text string, diagram_vector array<double>").withColumn("normalized_text", F.lit("x"))
+    index = I.Index.build(items)
+    q = spark.createDataFrame([("f", "1", v), ("t", "abcd", None), ("n", None, None)], "qid string, structure_text string, diagram_vector array<double>")
+    got: dict = {}
+    for r in I.recall(index, q).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.pos, round(r.retrieval, 4)))
+    w2 = SearchConfig().visual_blend ** 2
+    assert got["f"] == [(4, 1.0), (1, round(w2 / (w2 * (1 + w2)) ** 0.5, 4)), (0, 0.0), (2, 0.0), (3, 0.0), (5, 0.0)]
+    assert got["t"] == [(0, 1.0)] + [(p, 0.0) for p in range(1, 6)] and got["n"] == [(p, 0.0) for p in range(6)]
+    assert [r.pos for r in I.recall(index, q.where("qid = 'f'"), 2).orderBy("rank").collect()] == [4, 1]
+    assert I.recall(index, q.limit(0)).count() == 0
+    assert I.recall(I.Index.build(items.limit(0)), q).count() == 0
+
+
+def test_recall_across_blocks_equals_one_block(spark, monkeypatch):
+    rows = [(i, f"train {i % 13} runs {i % 7} hours for {i % 5}", [float(i % 3), 1.0, 0.0]) for i in range(400)]
+    items = spark.createDataFrame(rows, "pos long, structure_text string, diagram_vector array<double>").withColumn("normalized_text", F.lit("x"))
+    q = items.where("pos % 50 = 0").select(F.col("pos").alias("qid"), "structure_text", "diagram_vector")
+    one = {(r.qid, r.rank): r.pos for r in I.recall(I.Index.build(items), q, 30).collect()}
+    monkeypatch.setattr(I, "BLOCK_ITEMS", 37)
+    monkeypatch.setattr(I, "TILE_QUERIES", 3)
+    assert {(r.qid, r.rank): r.pos for r in I.recall(I.Index.build(items), q, 30).collect()} == one and len(one) == 8 * 30
+
+
+def test_pruned_pairs_change_no_result(spark, index):
+    q = S.prepare_queries(spark.createDataFrame([(k, t) for k, t in {**GALLERY, "v": VARIANT}.items()], "qid string, text string"))
+    for use_formula in (True, False):
+        whole, cut = (S.candidates(index, q, use_formula, a).where("is_original or is_variant").select("qid", "id", "relation", "surface", "stem") for a in (True, False))
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_responses_and_lookups(spark, index):
+    q = S.prepare_queries(spark.createDataFrame([("a", GALLERY["circle-a"]), ("z", "zzzz")], "qid string, text string"))
+    got = {r.qid: r for r in S.responses(index, q).collect()}
+    assert (got["a"].recalled, got["a"].originals, got["a"].reranked, [r.id for r in got["a"].results]) == (6, 1, 2, ["circle-a", "circle-b"])
+    assert (got["z"].recalled, got["z"].originals, got["z"].reranked, got["z"].results) == (6, 0, 0, [])
+    assert index.get("age").first().pos == 3 and index.get("none").count() == 0
+    items = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "id string, pos long, source string")
+    ids = spark.createDataFrame([("a",), ("a",), ("q",), (None,)], "id string")
+    assert [tuple(r) for r in I.lookup(items, ids).collect()] == [("a", 2, "y")]
+
+
+class Lengths:
+    def encode(self, texts):
+        return np.array([[len(t), 1.0] for t in texts])
+
+
+def test_dense_encoder(spark, tmp_path):
+    items = spark.createDataFrame([(0, "a"), (1, "b" * 9), (2, "")], "pos long, structure_text string").withColumn("normalized_text", F.lit("x")).withColumn("original_text", F.col("structure_text"))
+    index = I.Index.build(items, encoder=Lengths)
+    index.save(str(tmp_path / "i"))
+    again = I.Index.load(spark, str(tmp_path / "i"), encoder=Lengths)
+    q = spark.createDataFrame([(7, "c" * 8)], "qid long, structure_text string")
+    assert [r.pos for r in I.recall(again, q).orderBy("rank").collect()] == [1, 0, 2]
+    with pytest.raises(ValueError):
+        I.Index.load(spark, str(tmp_path / "i"))
+
+
+def png(pixels):
+    """A gray PNG file of an array."""
+    h, w = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+class Reading:
+    def read(self, image):
+        return "```\n题目：" + GALLERY["age"] + "\n解答\nno```" if image[5, 5] < 128 else ""
+
+
+def test_search_by_image(spark, index, tmp_path):
+    page = np.full((60, 80), 255)
+    (tmp_path / "empty.png").write_bytes(png(page))
+    page[4:7, 4:7] = 0
+    (tmp_path / "age.png").write_bytes(png(page))
+    images = spark.read.format("image").load(str(tmp_path))
+    got = S.search_images(index, images, Reading).collect()
+    assert [(r.qid.rsplit("/", 1)[1], r.id, r.relation) for r in got] == [("age.png", "age", "original")]
+    (tmp_path / "manifest.txt").write_text("# name and id\nage.png\tage\nempty.png\tspeed\nmissing.png\tage\n")
+    log = {r.gold: (r.hit, r.empty) for r in E.run_image_eval(index, spark, str(tmp_path), Reading).collect()}
+    assert log == {"age": (True, False), "speed": (False, True)}
+
+
+def test_folder_of_intermediate_tables(spark):
+    far = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: {}))
+    with pytest.raises(ValueError):
+        storage.shared_dir(far)
+    with storage.temporary_tables(spark):
+        path = storage.materialize(spark.range(3), "t")._mathloom_path
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
