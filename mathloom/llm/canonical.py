@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mathloom.llm.skew import join_to_groups
 from mathloom.llm.tables import read
-from mathloom.operators.skew import join_to_groups
 from mathloom.storage import materialize
 
 #: A character that does not count; a point counts only between two digits.

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mathloom.llm.skew import join_to_groups, pairs_within
 from mathloom.llm.tables import read
-from mathloom.operators.skew import join_to_groups
 from mathloom.storage import drop, materialize
 
 FIELDS = ("original_text", "normalized_text")
@@ -180,7 +180,9 @@ def same_looking(items: DataFrame) -> DataFrame:
     mixed = materialize(join_to_groups(rows, spelt.select(*form, "n"), form, "n", rows.count()), "mixed")
     drop(rows)
     kinds = mixed.select(*form, "raw").distinct()
-    pairs = kinds.withColumnRenamed("raw", "raw_a").join(kinds.withColumnRenamed("raw", "raw_b"), form).where("raw_a < raw_b")
+    same = (F.col("x.field") == F.col("y.field")) & (F.col("x.s2") == F.col("y.s2"))
+    met = pairs_within(kinds, "s1", "raw", mixed.count(), same, [*form, "raw"])
+    pairs = met.select(*(F.col(f"x_{c}").alias(c) for c in form), F.col("x_raw").alias("raw_a"), F.col("y_raw").alias("raw_b"))
     a = mixed.select(*form, F.col("raw").alias("raw_a"), F.col("pos").alias("p"))
     b = mixed.select(*form, F.col("raw").alias("raw_b"), F.col("pos").alias("q"))
     both = pairs.join(a, [*form, "raw_a"]).join(b, [*form, "raw_b"])

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.llm import shingles as S
+from mathloom.llm.components import connected_components
+from mathloom.llm.skew import join_to_groups, pairs_within
 from mathloom.llm.tables import label, read
-from mathloom.operators.components import connected_components
-from mathloom.operators.skew import join_to_groups, self_join
 from mathloom.storage import drop, materialize
 
 #: Characters of text that are sketched at once in a Python worker.
@@ -117,9 +117,11 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
 #: PartEnum over the minwise sketch, a set of fixed size for every text: the domain of 32 values
 #: is cut into 8 parts of 4 cells; every 3 of the 4 cells of a part give a signature. Sketches that
 #: differ in at most 15 of 32 values share one for certain; of pairs at the threshold 0.02 % share none.
+#: The sketches are sets of equal size, so all of them lie in one size band.
 PARTS, CELLS = 8, 4
-#: Fingerprints may differ in so many of 64 symbols; at the threshold 14 are expected, deviation 3.3.
-MAX_SYMBOLS = 26
+#: Fingerprints may differ in so many of 64 symbols; at the threshold 14.4 are expected, deviation 3.3, so
+#: this loses 2 pairs in a million there.
+MAX_SYMBOLS = 31
 
 
 def partenum_signatures(field: str = "field", mins: str = "mins") -> Column:
@@ -145,7 +147,7 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
     near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
     same_field = F.col("x.field") == F.col("y.field")
-    met = self_join(sigs, "sig", "pos", PARTS * CELLS, sk.count(), same_field & (F.col("x.pos") < F.col("y.pos")) & near, ["field", "pos"])
+    met = pairs_within(sigs, "sig", "pos", reps.count() * PARTS * CELLS, same_field & near, ["field", "pos"])
     pairs = materialize(met.select(F.col("x_field").alias("field"), F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
@@ -194,12 +196,15 @@ def found_groups(items: DataFrame) -> DataFrame:
 
 # --- Problem 3: overlaps across splits -------------------------------------------------------
 
-#: The similarity-hash code of a text is 24 segments of three 8-bit minwise values; texts at the
-#: threshold share no segment with probability 4e-5. Bits of minwise values are used instead of
-#: signs of random projections: at similarity 0.7 they differ less often.
+#: The fingerprint of a text is 576 bits: 72 minwise values of 8 bits, in 24 segments of three. Bits of
+#: minwise values are used instead of signs of random projections: at similarity 0.7 they differ less often.
+#: Two fingerprints that differ in fewer than SEGMENTS values share a segment for certain (each of these values
+#: spoils one of 24); texts at the threshold, most of which differ in 18 to 25, share none with probability 4e-5.
 SEGMENTS, WIDTH = 24, 3
-#: Hamming radius of the 128-bit fingerprint: mean 19 bits at the threshold, deviation 4.8.
-RADIUS = 37
+#: Hamming radius on the 128 bits of the fingerprint that travel through the join, the two low bits of its
+#: first 64 values. Fewer than SEGMENTS differing values change at most so many of these, so no pair that shares
+#: a segment for certain is lost; at the threshold 19.2 bits are expected, deviation 4.8, and 1 pair in 4 million is.
+RADIUS = 2 * (SEGMENTS - 1)
 
 
 def overlap_rows(items: DataFrame) -> DataFrame:
@@ -222,11 +227,13 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     members = materialize(join_to_groups(sides, classes, ["h1", "h2"], "n", sides.count()).drop("h1", "h2"), "members")
     drop(sides)
     reps = sk.join(members.where("pos = rep").select("pos", "in_train", "in_eval"), "pos")
+    reps = materialize(reps.select("pos", "fp1", "fp2", "mins", "in_train", "in_eval"), "reps")
     segment = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("mins", WIDTH * k + 1, WIDTH)) for k in range(SEGMENTS))))
-    side = lambda flag, pos, p: reps.where(flag).select(segment.alias("code"), F.col("pos").alias(pos), F.col("fp1").alias(p + "1"), F.col("fp2").alias(p + "2"))
-    near = _differing_bits("x1", "y1") + _differing_bits("x2", "y2") <= RADIUS
-    pairs = side("in_train", "a", "x").join(side("in_eval", "b", "y"), "code").where(near & (F.col("a") != F.col("b")))
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    blocks = reps.select(segment.alias("code"), "pos", "fp1", "fp2", "in_train", "in_eval")
+    near = _differing_bits("x.fp1", "y.fp1") + _differing_bits("x.fp2", "y.fp2") <= RADIUS
+    met = pairs_within(blocks, "code", "pos", reps.count() * SEGMENTS, near, ["pos"], sides=(F.col("in_train"), F.col("in_eval")))
+    pairs = materialize(met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
+    drop(reps)
     texts = rows.select("pos", F.col("original_text").alias("text"))
     links = verified(pairs, texts, [], threshold).select(F.col("a").alias("t"), F.col("b").alias("e"))
     same = members.where("pos = rep and in_train and in_eval").select(F.col("pos").alias("t"), F.col("pos").alias("e"))

@@ -3,7 +3,8 @@
 Positions of a text are covered by a difference cover: for any two positions there is a shift of
 less than the period that takes both into the cover. So two equal passages of MIN_SHARED characters
 hold a window of WINDOW characters that begins at a covered position in both texts; only these
-windows are hashed and joined. A match is then extended to both sides on the texts themselves.
+windows are hashed, each once a text, and texts that have one in common are a pair. Each pair meets its two
+texts once, where a match is extended to all neighbouring windows of MIN_SHARED characters that are shared too.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mathloom.llm.shingles import mix64
+from mathloom.llm.skew import join_to_groups, pairs_within, sampled
 from mathloom.llm.tables import read
-from mathloom.operators.skew import join_to_groups
 from mathloom.storage import drop, materialize
 
 MIN_SHARED = 150
@@ -35,47 +36,55 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def windows(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of text, position, 64-bit hash) of all windows at covered positions, a chunk at a time."""
+def _chunks(sizes: list[int]) -> Iterator[slice]:
+    """Ranges of neighbouring rows of about CHUNK_CHARS characters."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK_CHARS or i == len(texts) - 1:
-            yield _windows(texts[begin : i + 1], begin)
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= CHUNK_CHARS or i == len(sizes) - 1:
+            yield slice(begin, i + 1)
             begin, size = i + 1, 0
 
 
-def _windows(texts: list, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list, width: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of text, position, 64-bit hash) of all windows of ``width`` characters at covered positions, of
+    texts that have MIN_SHARED characters."""
     texts = [t or "" for t in texts]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
-    whole = np.maximum(0, sizes - WINDOW + 1) * (sizes >= MIN_SHARED)
-    cover = np.array(COVER)
-    many = -(-whole // PERIOD)
-    doc = np.repeat(np.arange(len(texts)), many * len(cover))
-    step = np.arange(len(doc)) - np.repeat((np.cumsum(many) - many) * len(cover), many * len(cover))
-    at = step // len(cover) * PERIOD + cover[step % len(cover)]
+    whole = np.maximum(0, sizes - width + 1) * (sizes >= MIN_SHARED)
+    places = np.array(cover)
+    many = -(-whole // period)
+    doc = np.repeat(np.arange(len(texts)), many * len(places))
+    step = np.arange(len(doc)) - np.repeat((np.cumsum(many) - many) * len(places), many * len(places))
+    at = step // len(places) * period + places[step % len(places)]
     ok = at < whole[doc]
     doc, at = doc[ok], at[ok]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat) * _powers(_BASE, len(flat)), dtype=np.uint64)])
     lo = starts[doc] + at
     back = _powers(_INVERSE, len(flat) + 1)
-    return doc + first, at, mix64((sums[lo + WINDOW] - sums[lo]) * back[lo]).view(np.int64)
+    return doc, at, mix64((sums[lo + width] - sums[lo]) * back[lo])
 
 
-def anchors(classes: DataFrame) -> DataFrame:
-    """(h, doc_id, at): hash and position of every covered window of the texts of at least MIN_SHARED characters."""
+def anchors(texts: DataFrame) -> DataFrame:
+    """(h, doc_id): the hash of every covered window of the texts of at least MIN_SHARED characters, once a text
+    however often it stands there."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for doc, at, h in windows(b.column(1).to_pylist()):
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for part in _chunks([len(t or "") for t in texts]):
+                doc, _, h = windows(texts[part], WINDOW, PERIOD, COVER)
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(doc)]
+                doc, h = doc[new], h[new].view(np.int64)
                 for k in range(0, len(doc), 500_000):
                     s = slice(k, k + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(ids[doc[s]], pa.int64()), pa.array(at[s].astype(np.int32))], ["h", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(ids[part][doc[s]], pa.int64())], ["h", "doc_id"])
 
-    return classes.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, at int")
+    return texts.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -84,63 +93,66 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return long.select(F.unhex(F.md5("text")).alias("k"), "doc_id")
 
 
+def passages(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, begin, n) of the longest passages of each left text all of whose windows of MIN_SHARED characters
+    stand in the right text at the same place of the lists, too."""
+    (own, at, h), (other, there, g) = (windows(t, MIN_SHARED, 1, (0,)) for t in (left, right))
+    of_pair = lambda pair, h: mix64(h ^ mix64(pair.astype(np.uint64) + np.uint64(1)))
+    mine, theirs = of_pair(own, h), of_pair(other, g)
+    order = np.argsort(theirs, kind="stable")
+    theirs = theirs[order]
+    near = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
+    shared = theirs[near] == mine if len(theirs) else np.zeros(len(mine), bool)
+    own, at, near = own[shared], at[shared], order[near[shared]]
+    first = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])[: len(own)]
+    begin = np.flatnonzero(first)
+    n = np.diff(np.append(begin, len(own))) + MIN_SHARED - 1
+    same = [left[p][a : a + MIN_SHARED] == right[p][b : b + MIN_SHARED] for p, a, b in zip(own[begin].tolist(), at[begin].tolist(), there[near[begin]].tolist())]
+    keep = np.array(same, bool)
+    return own[begin][keep], at[begin][keep], n[keep]
+
+
 def _extended(batches):
-    """Extend each match on the two texts; keep spans long enough, one row a span."""
+    """The shared passages of each pair of texts, in both of them; pairs that share none have no row."""
     for b in batches:
-        out = []
-        columns = [b.column(c).to_pylist() for c in ("a", "b", "lag", "ats", "text_a", "text_b")]
-        for a, c, lag, ats, s, t in zip(*columns):
-            end = -1
-            x, y = _points(s), _points(t)
-            lo, hi = max(0, -lag), min(len(x), len(y) - lag)
-            differ = None
-            for at in sorted(ats):
-                if at < end or at + WINDOW > hi or at < lo:
-                    continue
-                if differ is None:
-                    differ = np.flatnonzero(x[lo:hi] != y[lo + lag : hi + lag]) + lo
-                k = np.searchsorted(differ, at)
-                begin = lo if k == 0 else int(differ[k - 1]) + 1
-                end = hi if k == len(differ) else int(differ[k])
-                if end - begin >= MIN_SHARED and end >= at + WINDOW:
-                    out.append((a, c, begin, begin + lag, end - begin))
-        cols = list(zip(*out)) if out else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["a", "b", "at_a", "at_b", "n"])
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = [b.column(c).to_numpy() for c in ("a", "b")]
+        texts = [b.column(c).to_pylist() for c in ("text_a", "text_b")]
+        for part in _chunks([len(s) + len(t) for s, t in zip(*texts)]):
+            for x, y in ((0, 1), (1, 0)):
+                pair, begin, n = passages(texts[x][part], texts[y][part])
+                cols = [pa.array(ids[x][part][pair]), pa.array(ids[y][part][pair]), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "other", "begin", "n"])
 
 
 def shared_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, spans). members: (doc_id, rep) of every document long enough, rep the smallest doc_id
-    with the same text; spans: (a, b, at_a, at_b, n), all maximal equal passages of at least MIN_SHARED
-    characters between texts of two representatives a < b, as positions and length in code points."""
+    with the same text; spans: (rep, other, begin, n), the passages of a representative's text of which each
+    window of MIN_SHARED characters stands in the other's text too, as position and length in code points."""
     keyed = materialize(text_classes(docs), "keyed")
     reps = keyed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     members = materialize(join_to_groups(keyed, reps, ["k"], "n", keyed.count()).select("doc_id", "rep"), "members")
     drop(keyed)
-    texts = docs.select("doc_id", "text").join(members.where("doc_id = rep").select("doc_id"), "doc_id")
-    marks = anchors(texts)
-    x = marks.select("h", F.col("doc_id").alias("a"), F.col("at").alias("at_a"))
-    y = marks.select("h", F.col("doc_id").alias("b"), F.col("at").alias("at_b"))
-    met = x.join(y, "h").where("a < b").select("a", "b", (F.col("at_b") - F.col("at_a")).alias("lag"), "at_a")
-    lines = materialize(met.groupBy("a", "b", "lag").agg(F.collect_set("at_a").alias("ats")), "met")
+    texts = materialize(docs.select("doc_id", "text").join(members.where("doc_id = rep").select("doc_id"), "doc_id"), "texts")
+    expected = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] * len(COVER) // PERIOD
+    met = pairs_within(anchors(texts), "h", "doc_id", expected, None, ["doc_id"], sample=anchors(texts.where(sampled("doc_id"))))
+    pairs = materialize(met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(), "met")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = lines.join(side("a"), "a").join(side("b"), "b")
-    spans = both.select("a", "b", "lag", "ats", "text_a", "text_b").mapInArrow(_extended, "a long, b long, at_a int, at_b int, n int")
-    return members, materialize(spans, "spans")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    spans = both.select("a", "b", "text_a", "text_b").mapInArrow(_extended, "rep long, other long, begin int, n int")
+    spans = materialize(spans, "spans")
+    drop(pairs)
+    drop(texts)
+    return members, spans
 
 
 def found_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b) of all documents that share a passage, copies of one text included."""
     members, spans = shared_spans(docs)
-    pairs = spans.select("a", "b").distinct()
+    pairs = spans.where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
     p = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("p"))
     q = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("q"))
     across = pairs.join(p, "a").join(q, "b").select("p", "q")
-    same = p.join(q.withColumnRenamed("b", "a"), "a").where("p < q").select("p", "q")
+    same = pairs_within(members, "rep", "doc_id", members.count(), None, ["doc_id"]).select(F.col("x_doc_id").alias("p"), F.col("y_doc_id").alias("q"))
     return across.union(same).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
 
 
@@ -153,20 +165,16 @@ def shared_amounts(docs: DataFrame) -> DataFrame:
     A repeated doc_id gives one row a document. Extra columns do not matter.
     """
     members, spans = shared_spans(docs)
-    ends = spans.select(F.col("a").alias("rep"), F.col("at_a").alias("s"), "n", F.col("b").alias("o")).union(spans.select("b", "at_b", "n", "a"))
-    steps = ends.select("rep", F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi"), "o").distinct()
-    islands = steps.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("v"), F.count_distinct("o").alias("partners"))
-    covered = F.aggregate(
-        "v", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
-        lambda acc, x: F.struct(
-            (acc["sum"] + F.greatest(F.lit(0), x["hi"] - F.greatest(x["lo"], acc["end"]))).alias("sum"), F.greatest(acc["end"], x["hi"]).alias("end")
-        ),
-    )["sum"]
-    per = islands.select("rep", covered.alias("covered"), "partners")
+    partners = spans.select("rep", "other").distinct().groupBy("rep").agg(F.count("*").alias("partners"))
+    steps = spans.select("rep", F.col("begin").alias("lo"), (F.col("begin") + F.col("n")).alias("hi")).distinct()
+    before = F.max("hi").over(Window.partitionBy("rep").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce("before", F.lit(0))))
+    covered = steps.withColumn("before", before).groupBy("rep").agg(F.sum(new).alias("covered"))
+    per = covered.join(partners, "rep")
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     known = members.join(copies, "rep").join(per, "rep", "left")
     out = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(known, "doc_id", "left")
-    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)).cast("int"))
     return out.select("doc_id", "n_chars", shared.alias("shared_chars"), F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mathloom.llm.skew import join_to_groups
 from mathloom.llm.tables import read
-from mathloom.operators.skew import join_to_groups
 from mathloom.storage import materialize
 
 DIMS = 256
