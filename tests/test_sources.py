@@ -1,8 +1,5 @@
 import json
 
-import pytest
-
-from mathloom.operators.components import connected_components
 from mathloom.sources import files
 from mathloom.sources import records as R
 
@@ -36,12 +33,6 @@ def test_first_of_each(spark):
     assert R.first_of_each([items, items], 1).count() == 1
 
 
-@pytest.mark.parametrize("edges,want", [([], {}), ([(1, 2), (2, 3), (5, 4), (7, 7), (9, None)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(41)})])
-def test_components(spark, edges, want):
-    df = spark.createDataFrame(edges, "x long, y long")
-    assert {r.node: r.component for r in connected_components(df, "x", "y").collect()} == want
-
-
 def test_json_files_with_one_object_a_line(spark, tmp_path):
     ape = tmp_path / "x.ape.json"
     ape.write_text('{"id": "1", "original_text": "有5个"}\n\n{"id": "2", "original_text": "有6个"}\r\n{"id": "3", "original_text": "有7个"}\n{"id": "4", "origi\n')
