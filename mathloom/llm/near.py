@@ -96,8 +96,13 @@ def _differing_bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs (keys, a, b) whose texts (keys, pos, text) have at least the similarity."""
+#: Rows of texts and pairs that one task of the verification gets.
+ROWS_A_TASK = 50_000
+
+
+def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: float, n_texts: int) -> DataFrame:
+    """Pairs (keys, a, b), a written table, whose texts (keys, pos, text), about ``n_texts``, have at least the
+    similarity. The texts are shuffled once for both sides, into as many partitions as their number asks for."""
 
     def run(batches):
         for batch in batches:
@@ -106,7 +111,9 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
             yield batch.select([*keys, "a", "b"]).filter(keep)
 
     kinds = dict(texts.dtypes)
-    side = lambda x: texts.select(*keys, F.col("pos").alias(x), F.col("text").alias(f"text_{x}"))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_texts + 2 * pairs.count()) // ROWS_A_TASK)
+    dealt = texts.select(*keys, "pos", "text").repartition(parts, *keys, "pos")
+    side = lambda x: dealt.select(*keys, F.col("pos").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     joined = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"a {kinds['pos']}", f"b {kinds['pos']}"])
     return joined.select(*keys, "a", "b", "text_a", "text_b").mapInArrow(run, schema)
@@ -120,8 +127,8 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
 #: The sketches are sets of equal size, so all of them lie in one size band.
 PARTS, CELLS = 8, 4
 #: Fingerprints may differ in so many of 64 symbols; at the threshold 14.4 are expected, deviation 3.3, so
-#: this loses 2 pairs in a million there.
-MAX_SYMBOLS = 31
+#: this loses 5 pairs in 100 000 there. 31 would lose 2 in a million and verify three times as many pairs.
+MAX_SYMBOLS = 28
 
 
 def partenum_signatures(field: str = "field", mins: str = "mins") -> Column:
@@ -152,7 +159,7 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
     texts = reduce(DataFrame.union, (rows.select("pos", F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))
-    links = materialize(verified(pairs, texts.where("text is not null"), ["field"], threshold), "links")
+    links = materialize(verified(pairs, texts.where("text is not null"), ["field"], threshold, sk.count()), "links")
     drop(pairs)
     return sk, classes, links
 
@@ -198,13 +205,14 @@ def found_groups(items: DataFrame) -> DataFrame:
 
 #: The fingerprint of a text is 576 bits: 72 minwise values of 8 bits, in 24 segments of three. Bits of
 #: minwise values are used instead of signs of random projections: at similarity 0.7 they differ less often.
-#: Two fingerprints that differ in fewer than SEGMENTS values share a segment for certain (each of these values
-#: spoils one of 24); texts at the threshold, most of which differ in 18 to 25, share none with probability 4e-5.
+#: Fingerprints that differ in fewer than SEGMENTS values share a segment for certain, as each of these values
+#: spoils one of 24; texts at the threshold, most of which differ in 18 to 25, share none with probability 4e-5.
 SEGMENTS, WIDTH = 24, 3
-#: Hamming radius on the 128 bits of the fingerprint that travel through the join, the two low bits of its
-#: first 64 values. Fewer than SEGMENTS differing values change at most so many of these, so no pair that shares
-#: a segment for certain is lost; at the threshold 19.2 bits are expected, deviation 4.8, and 1 pair in 4 million is.
-RADIUS = 2 * (SEGMENTS - 1)
+#: So many differing values are found for certain. The Hamming radius is taken on the 128 bits of the fingerprint
+#: that travel through the join, the two low bits of its first 64 values, of which these values change at most
+#: RADIUS. At the threshold 19.2 bits are expected, deviation 4.8, so the radius loses 3 pairs in a million there.
+CERTAIN = 21
+RADIUS = 2 * CERTAIN
 
 
 def overlap_rows(items: DataFrame) -> DataFrame:
@@ -226,7 +234,7 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     )
     members = materialize(join_to_groups(sides, classes, ["h1", "h2"], "n", sides.count()).drop("h1", "h2"), "members")
     drop(sides)
-    reps = sk.join(members.where("pos = rep").select("pos", "in_train", "in_eval"), "pos")
+    reps = sk.join(members.where("pos = rep").select("pos", "in_train", "in_eval").hint("merge"), "pos")
     reps = materialize(reps.select("pos", "fp1", "fp2", "mins", "in_train", "in_eval"), "reps")
     segment = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("mins", WIDTH * k + 1, WIDTH)) for k in range(SEGMENTS))))
     blocks = reps.select(segment.alias("code"), "pos", "fp1", "fp2", "in_train", "in_eval")
@@ -235,7 +243,7 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     pairs = materialize(met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
     drop(reps)
     texts = rows.select("pos", F.col("original_text").alias("text"))
-    links = verified(pairs, texts, [], threshold).select(F.col("a").alias("t"), F.col("b").alias("e"))
+    links = verified(pairs, texts, [], threshold, sk.count()).select(F.col("a").alias("t"), F.col("b").alias("e"))
     same = members.where("pos = rep and in_train and in_eval").select(F.col("pos").alias("t"), F.col("pos").alias("e"))
     return members, materialize(links.union(same), "links")
 
@@ -245,7 +253,7 @@ def found_overlaps(items: DataFrame) -> DataFrame:
     members, links = cross_split_links(items)
     train = members.where("train").select(F.col("rep").alias("t"), F.col("pos").alias("p"))
     held = members.where("not train").select(F.col("rep").alias("e"), F.col("pos").alias("q"))
-    both = links.join(train, "t").join(held, "e")
+    both = links.hint("merge").join(train, "t").join(held.hint("merge"), "e")
     return both.select(F.least("p", "q").alias("pos_a"), F.greatest("p", "q").alias("pos_b"))
 
 

@@ -28,8 +28,8 @@ BLOCK = 1024
 SAMPLED = 64
 #: Hot keys at most, which bounds their broadcast: a key of two longs.
 MOST_HOT = 1 << 20
-#: Rows that one task of the join reads from either side, about 40 MB.
-ROWS_A_TASK = 500_000
+#: Rows that one task of the join reads, about 10 MB.
+ROWS_A_TASK = 250_000
 
 
 def sampled(row_id: str) -> Column:
