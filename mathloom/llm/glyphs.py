@@ -180,8 +180,7 @@ def same_looking(items: DataFrame) -> DataFrame:
     mixed = materialize(join_to_groups(rows, spelt.select(*form, "n"), form, "n", rows.count()), "mixed")
     drop(rows)
     kinds = mixed.select(*form, "raw").distinct()
-    same = (F.col("x.field") == F.col("y.field")) & (F.col("x.s2") == F.col("y.s2"))
-    met = pairs_within(kinds, "s1", "raw", mixed.count(), same, [*form, "raw"])
+    met = pairs_within(kinds, form, "raw", mixed.count(), None, [*form, "raw"])
     pairs = met.select(*(F.col(f"x_{c}").alias(c) for c in form), F.col("x_raw").alias("raw_a"), F.col("y_raw").alias("raw_b"))
     a = mixed.select(*form, F.col("raw").alias("raw_a"), F.col("pos").alias("p"))
     b = mixed.select(*form, F.col("raw").alias("raw_b"), F.col("pos").alias("q"))

@@ -153,8 +153,7 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     reps = materialize(reps, "reps")
     sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
     near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
-    same_field = F.col("x.field") == F.col("y.field")
-    met = pairs_within(sigs, "sig", "pos", reps.count() * PARTS * CELLS, same_field & near, ["field", "pos"])
+    met = pairs_within(sigs, ["field", "sig"], "pos", reps.count() * PARTS * CELLS, near, ["field", "pos"])
     pairs = materialize(met.select(F.col("x_field").alias("field"), F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
@@ -239,7 +238,7 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     segment = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("mins", WIDTH * k + 1, WIDTH)) for k in range(SEGMENTS))))
     blocks = reps.select(segment.alias("code"), "pos", "fp1", "fp2", "in_train", "in_eval")
     near = _differing_bits("x.fp1", "y.fp1") + _differing_bits("x.fp2", "y.fp2") <= RADIUS
-    met = pairs_within(blocks, "code", "pos", reps.count() * SEGMENTS, near, ["pos"], sides=(F.col("in_train"), F.col("in_eval")))
+    met = pairs_within(blocks, ["code"], "pos", reps.count() * SEGMENTS, near, ["pos"], sides=(F.col("in_train"), F.col("in_eval")))
     pairs = materialize(met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
     drop(reps)
     texts = rows.select("pos", F.col("original_text").alias("text"))

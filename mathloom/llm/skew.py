@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str,
 BLOCK = 1024
 #: One row id in so many takes part in the search for hot keys.
 SAMPLED = 64
-#: Hot keys at most, which bounds their broadcast: a key of two longs.
+#: Hot keys at most, which bounds their broadcast: a few numbers each.
 MOST_HOT = 1 << 20
 #: Rows that one task of the join reads, about 10 MB.
 ROWS_A_TASK = 250_000
@@ -38,13 +41,14 @@ def sampled(row_id: str) -> Column:
 
 
 def pairs_within(
-    rows: DataFrame, key: str, row_id: str, n_rows: int, condition: Column | None, columns: list[str], sides: tuple[Column, Column] | None = None, sample: DataFrame | None = None
+    rows: DataFrame, keys: list[str], row_id: str, n_rows: int, condition: Column | None, columns: list[str], sides: tuple[Column, Column] | None = None, sample: DataFrame | None = None
 ) -> DataFrame:
-    """Pairs of ``rows`` with the same ``key`` that meet ``condition``, in which the sides are called x and y.
+    """Pairs of ``rows`` with the same ``keys`` that meet ``condition``, in which the sides are called x and y.
     The result has x and y versions of ``columns`` as x_... and y_....
 
     Without ``sides`` each unordered pair comes once, x with the smaller ``row_id``; with them x meets the first
     and y the second of two conditions on a row. Rows of one row_id are never paired. Null keys match nothing.
+    Conditions of equality belong into ``keys``: Spark would take them for keys of the join and shuffle once more.
 
     No task sees all pairs of a large key: keys that seem to hold at least BLOCK rows and a 2^20th of all rows
     (about ``n_rows``) in a sample of row ids are cut into blocks of about BLOCK rows, and every two blocks are
@@ -55,24 +59,25 @@ def pairs_within(
     """
     limit = max(float(BLOCK), n_rows / MOST_HOT) / SAMPLED
     seen = rows.where(sampled(row_id)) if sample is None else sample
-    counts = seen.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") >= limit) & F.col(key).isNotNull())
-    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") * SAMPLED / BLOCK).cast("int").alias("_g")))
+    counts = seen.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= limit)
+    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") * SAMPLED / BLOCK).cast("int").alias("_g")))
     left, right = sides or (F.lit(True), F.lit(True))
     kept = condition if condition is not None else F.lit(True)
     x_id, y_id = F.col(f"x.{row_id}"), F.col(f"y.{row_id}")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
 
-    once = rows.join(hot.select(key), key, "left_anti").repartition(parts, key)
+    same = lambda *more: reduce(and_, (F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*keys, *more)))
+    once = rows.join(hot.select(*keys), keys, "left_anti").repartition(parts, *keys)
     order = x_id != y_id if sides else x_id < y_id
-    cold = once.where(left).alias("x").join(once.where(right).alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}")).where(kept & order)
+    cold = once.where(left).alias("x").join(once.where(right).alias("y"), same()).where(kept & order)
     cold = cold.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in columns))
 
-    many = rows.join(hot, key).withColumn("_b", F.pmod(F.xxhash64(row_id, F.lit(1)), F.col("_g").cast("long")).cast("int"))
+    many = rows.join(hot, keys).withColumn("_b", F.pmod(F.xxhash64(row_id, F.lit(1)), F.col("_g").cast("long")).cast("int"))
     first = F.lit(0) if sides else F.col("_b")
     last = F.col("_g") - 1 if sides else F.col("_b")
     x = many.where(left).withColumn("_j", F.explode(F.sequence(first, F.col("_g") - 1))).withColumn("_i", F.col("_b")).alias("x")
     y = many.where(right).withColumn("_i", F.explode(F.sequence(F.lit(0), last))).withColumn("_j", F.col("_b")).alias("y")
-    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j")))
+    met = x.join(y, same("_i", "_j"))
     apart = x_id != y_id if sides else (x_id < y_id) | ((F.col("x._i") < F.col("x._j")) & (x_id != y_id))
     swap = F.lit(False) if sides else x_id > y_id
     side = lambda a, b, c: F.when(swap, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(f"{a}_{c}")

@@ -134,7 +134,7 @@ def shared_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop(keyed)
     texts = materialize(docs.select("doc_id", "text").join(members.where("doc_id = rep").select("doc_id"), "doc_id"), "texts")
     expected = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] * len(COVER) // PERIOD
-    met = pairs_within(anchors(texts), "h", "doc_id", expected, None, ["doc_id"], sample=anchors(texts.where(sampled("doc_id"))))
+    met = pairs_within(anchors(texts), ["h"], "doc_id", expected, None, ["doc_id"], sample=anchors(texts.where(sampled("doc_id"))))
     pairs = materialize(met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(), "met")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -152,7 +152,7 @@ def found_pairs(docs: DataFrame) -> DataFrame:
     p = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("p"))
     q = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("q"))
     across = pairs.join(p, "a").join(q, "b").select("p", "q")
-    same = pairs_within(members, "rep", "doc_id", members.count(), None, ["doc_id"]).select(F.col("x_doc_id").alias("p"), F.col("y_doc_id").alias("q"))
+    same = pairs_within(members, ["rep"], "doc_id", members.count(), None, ["doc_id"]).select(F.col("x_doc_id").alias("p"), F.col("y_doc_id").alias("q"))
     return across.union(same).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
 
 

@@ -1,11 +1,13 @@
 """Problem 7: the most similar figures of every figure, by vector and by perceptual hash.
 
 A block matrix join: rows are dealt to blocks, every pair of blocks is one tile, and a task works
-one tile. Vectors are quantised to int8; the product of a tile (whole numbers, exact in float32)
-gives each cosine with a bound on its error. Pairs whose bound reaches the threshold are computed
-again in float64, every row keeps a heap of its best in the tile, and the heaps of all tiles are
-merged. Perceptual hashes take the same way as vectors of 64 signs, whose products are exact.
-Equal figures form one class and enter the join once.
+one tile, a strip of its rows at a time. Vectors are quantised to int8; the product of a strip (whole
+numbers, exact in float32) gives each cosine with a bound on its error. Pairs whose bound reaches the
+threshold and the k-th best that either side has so far are computed again in float64 and merged into
+the heaps, which are arrays of the k best of every row and every column; a strip is forgotten before the
+next one, so a cluster of near-equal figures does not gather its pairs. The heaps of all tiles are merged
+in the end. Perceptual hashes take the same way as vectors of 64 signs, whose products are exact. Equal
+figures form one class and enter the join once.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ NEIGHBOURS = 5
 MIN_COSINE = 0.9
 MAX_BITS = 4
 #: Rows of a block at most, which bounds a task's memory, and blocks at least, for parallel tiles.
-BLOCK_ROWS, MIN_BLOCKS = 16384, 8
+BLOCK_ROWS, MIN_BLOCKS = 32768, 8
 #: Rows of a tile whose products are held at once.
 STRIP = 512
 #: Cosines are compared at so many decimals: stored vectors are float32, copies may be scaled.
@@ -89,44 +91,90 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.float32), scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
 
 
+class _Best:
+    """The k best partners of each of n rows: scores from the highest, equal ones in order of id."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def least(self) -> np.ndarray:
+        """The score that a new partner of each row has to reach."""
+        return self.score[:, -1]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge partners of some rows with those known."""
+        k = self.score.shape[1]
+        touched, row = np.unique(rows, return_inverse=True)
+        row = np.concatenate([row, np.repeat(np.arange(len(touched)), k)])
+        ids, scores = np.concatenate([ids, self.id[touched].ravel()]), np.concatenate([scores, self.score[touched].ravel()])
+        order = np.lexsort((ids, -scores, row))
+        first = np.searchsorted(row[order], np.arange(len(touched)))
+        best = order[first[:, None] + np.arange(k)]
+        self.id[touched], self.score[touched] = ids[best], scores[best]
+
+    def rows(self, own: np.ndarray):
+        """(row, partner, score) of all that were found."""
+        i, j = np.nonzero(np.isfinite(self.score))
+        return own[i], self.id[i, j], self.score[i, j]
+
+
+#: Bounds are compared with scores that were rounded, so ties are not lost by them.
+_SLACK = 2 * 10.0**-DECIMALS
+#: Candidates of a strip above this share of its pairs are computed as one product.
+_DENSE = 1 / 16
+
+
 def _tile(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, field: int, k: int, same: bool):
-    """(row, partner, score) of the best k partners in y of each row of x; scores are rounded cosines or
-    negative Hamming distances, equal ones in order of id."""
+    """(row, partner, score) of the best k partners in y of each row of x and the other way round; scores are
+    rounded cosines or negative Hamming distances, equal ones in order of id."""
     least = MIN_COSINE if field == VECTOR else 64 - 2 * MAX_BITS
     if field == VECTOR:
         (qx, sx, ex), (qy, sy, ey) = _quantised(x), _quantised(y)
     else:
         qx, sx, ex, qy, sy, ey = x.astype(np.float32), np.ones(len(x)), np.zeros(len(x)), y.astype(np.float32), np.ones(len(y)), np.zeros(len(y))
-    rows, cols = [], []
-    top_e = ey.max() if len(ey) else 0.0
+    # as Hamming distances are scored by half the distance from 64, the product that a score stands for
+    product_of = (lambda score: score) if field == VECTOR else (lambda score: 64 + 2 * score)
+    best_x, best_y = _Best(len(x), k), _Best(len(y), k)
     for lo in range(0, len(x), STRIP):
         s = slice(lo, lo + STRIP)
         product = qx[s] @ qy.T
         # the cosine differs from the scaled product by at most ex + ey + ex * ey, as unit vectors have norm 1
-        worst = ex[s] + top_e + ex[s] * top_e
+        worst = ex[s] + ey.max() + ex[s] * ey.max()
         i, j = np.nonzero(product >= ((least - worst - 1e-9) / (sx[s] * sy.max()))[:, None].astype(np.float32) - 1)
-        bound = product[i, j].astype(np.float64) * sx[s][i] * sy[j] + ex[s][i] + ey[j] + ex[s][i] * ey[j]
-        keep = bound >= least - 1e-9
-        i, j = i[keep] + lo, j[keep]
         if same:
-            i, j = i[i != j], j[i != j]
-        rows.append(i)
-        cols.append(j)
-    i, j = np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
-    exact = np.empty(len(i))
-    for lo in range(0, len(i), 65536):
-        s = slice(lo, lo + 65536)
-        exact[s] = np.einsum("nd,nd->n", x[i[s]], y[j[s]])
-    ok = exact >= least - 1e-9
-    i, j, exact = i[ok], j[ok], exact[ok]
-    score = np.round(exact, DECIMALS) if field == VECTOR else np.rint((exact - 64) / 2)
-    for a, b, ia, ib in ((i, j, ids_x, ids_y), (j, i, ids_y, ids_x)) if not same else ((i, j, ids_x, ids_y),):
-        order = np.lexsort((ib[b], -score, a))
-        a, b, sc = a[order], b[order], score[order]
-        first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-        rank = np.arange(len(a)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(a))))
-        best = rank < k
-        yield ia[a[best]], ib[b[best]], sc[best]
+            i, j = i[i + lo != j], j[i + lo != j]
+        near, error = product[i, j].astype(np.float64) * sx[s][i] * sy[j], ex[s][i] + ey[j] + ex[s][i] * ey[j]
+        keep = near + error >= least - 1e-9
+        i, j, near, error = i[keep], j[keep], near[keep], error[keep]
+        if len(i) > 8 * k * len(product):
+            keep = near + error >= np.minimum(_kth(i, near - error, len(product), k)[i], np.inf if same else product_of(best_y.least())[j]) - _SLACK
+            i, j = i[keep], j[keep]
+        if len(i) > _DENSE * product.size:
+            exact = (x[s] @ y.T)[i, j]
+        else:
+            exact = np.empty(len(i))
+            for at in range(0, len(i), 65536):
+                c = slice(at, at + 65536)
+                exact[c] = np.einsum("nd,nd->n", x[lo + i[c]], y[j[c]])
+        ok = exact >= least - 1e-9
+        i, j, exact = i[ok] + lo, j[ok], exact[ok]
+        score = np.round(exact, DECIMALS) if field == VECTOR else np.rint((exact - 64) / 2)
+        best_x.add(i, ids_y[j], score)
+        if not same:
+            fits = score >= best_y.least()[j]
+            best_y.add(j[fits], ids_x[i[fits]], score[fits])
+    yield best_x.rows(ids_x)
+    if not same:
+        yield best_y.rows(ids_y)
+
+
+def _kth(rows: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th highest value of each of n rows, minus infinity where a row has fewer; rows are sorted."""
+    order = np.lexsort((-values, rows))
+    first = np.searchsorted(rows, np.arange(n))
+    have = np.diff(np.append(first, len(rows)))
+    at = np.minimum(first + k - 1, max(0, len(rows) - 1))
+    return np.where(have >= k, values[order[at]] if len(rows) else 0.0, -np.inf)
 
 
 def block_join(classes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

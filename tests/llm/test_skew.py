@@ -27,20 +27,20 @@ def test_pairs_within_equals_brute_force(spark, request, hot, sided):
     if hot:
         request.getfixturevalue("split")
     rows, df = keyed(spark)
-    got = skew.pairs_within(df, "k", "id", len(rows), (F.col("x.id") + F.col("y.id")) % 5 != 0, ["id", "k"], (F.col("even"), ~F.col("even")) if sided else None)
+    got = skew.pairs_within(df, ["k"], "id", len(rows), (F.col("x.id") + F.col("y.id")) % 5 != 0, ["id", "k"], (F.col("even"), ~F.col("even")) if sided else None)
     want = []
     for i, k, e in rows:
         for j, m, f in rows:
             if k is not None and k == m and i != j and (i + j) % 5 and ((e and not f) if sided else i < j):
                 want.append((i, k, j, m))
     assert sorted((r.x_id, r.x_k, r.y_id, r.y_k) for r in got.collect()) == sorted(want)
-    assert skew.pairs_within(df.limit(0), "k", "id", 0, None, ["id"]).count() == 0
+    assert skew.pairs_within(df.limit(0), ["k"], "id", 0, None, ["id"]).count() == 0
 
 
 def test_a_hot_key_is_cut(spark, split):
     """No task of the join gets more than a few blocks of the key that a third of all rows have."""
     rows, df = keyed(spark)
-    plan = skew.pairs_within(df.where("k = 7").dropDuplicates(["id"]), "k", "id", 100, None, ["id"])._jdf.queryExecution().toString()
+    plan = skew.pairs_within(df.where("k = 7").dropDuplicates(["id"]), ["k"], "id", 100, None, ["id"])._jdf.queryExecution().toString()
     assert "_i" in plan and "_j" in plan
     blocks = df.where("k = 7").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(25)).alias("b")).groupBy("b").count()
     assert blocks.agg(F.max("count")).first()[0] < 20
