@@ -1,26 +1,28 @@
 """Problem 2: a sample that matches target proportions of categories.
 
 Per plan the expected counts of its categories are raked by iterative proportional fitting over the
-margins of source, kind, figure and their cross, never above the supply; what a short category
-cannot give goes to others of the same margins. Counts are rounded to the sample size, minimums are
-repaired, and rows are drawn by weighted exponential keys. Categories that could not be met are
-reported with their gap.
+margins of source, kind and figure, never above the supply: what a short category cannot give goes to
+others of the same margins. Every row of a category gets an exponential key whose rate is made of the raked
+count, and is drawn if its key is at most 1, so the draw meets the raked counts on average. The draw is then
+repaired: raking once more with the minimums as lower bounds gives the counts to end with, and each category
+comes to one of the two whole numbers beside its count by the next keys or without the last ones; the plan's
+size is met as far as supply goes. Categories that could not be met are reported with their gap.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mathloom.llm.tables import label, read
 from mathloom.storage import materialize
 
 CELL = ["source", "kind", "has_diagram"]
-MARGINS = (("source",), ("kind",), ("has_diagram",), ("source", "kind", "has_diagram"))
-ROUNDS = 200
-TOLERANCE = 1e-9
+MARGINS = (("source",), ("kind",), ("has_diagram",))
+#: Rounds of the fitting at most, and the share of the size that a margin may be off when it ends.
+ROUNDS, TOLERANCE = 1000, 1e-7
 #: Keys are cut into so many ranges, so that only the range that holds the cut is ranked.
 RANGES = 4096
 SEED = 17
@@ -44,128 +46,159 @@ def supply(items: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.where("id is not null").join(named, CELL).distinct()
 
 
-def rake(goal: np.ndarray, have: np.ndarray, groups: list[np.ndarray], total: float) -> np.ndarray:
-    """Expected counts at most ``have`` whose sums over each grouping come as near to those of ``goal``
-    as supply allows. ``groups``: for every margin the group number of each cell."""
-    x = np.minimum(have, np.where(goal > 0, goal, 0) + 1e-12 * have)
+def rake(goal: np.ndarray, have: np.ndarray, groups: list[np.ndarray], total: float, least: np.ndarray | float = 0.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Expected counts between ``least`` and ``have`` whose sums over each grouping are those of ``goal`` as far as
+    these bounds allow. ``groups``: for every margin the group number of each cell. Cells begin at ``start``, else at
+    their goal, and are scaled margin by margin; cells at a bound leave the change to the others of their group. What
+    the margins leave open of ``total`` goes to, or comes from, all cells that have room."""
+    x = np.clip(np.maximum(goal, 0) if start is None else start, least, have)
+    wanted = [np.bincount(g, goal) for g in groups]
     for _ in range(ROUNDS):
-        before = x.copy()
-        for g in groups:
-            want = np.bincount(g, goal)
-            now = np.bincount(g, x)
-            factor = np.divide(want, now, out=np.ones_like(want), where=now > 0)
-            x = np.minimum(x * factor[g], have)
-        free = x < have - TOLERANCE
+        for g, want in zip(groups, wanted):
+            for _ in range(8):  # cells that reach a bound leave the rest to the others
+                now = np.bincount(g, x)
+                moves = np.where((want >= now)[g], x < have, x > least) & (x > 0)
+                free = np.bincount(g, x * moves)
+                factor = np.divide(np.maximum(want - now + free, 0), free, out=np.ones_like(want), where=free > 0)
+                x = np.where(moves, np.clip(x * factor[g], least, have), x)
+                if (np.abs(np.bincount(g, x) - want) <= TOLERANCE * total).all():
+                    break
+        if all((np.abs(np.bincount(g, x) - want) <= TOLERANCE * total).all() for g, want in zip(groups, wanted)):
+            break
+    for _ in range(2 * len(x)):
         missing = min(total, have.sum()) - x.sum()
-        if missing > TOLERANCE and (x * free).sum() > 0:
-            x = np.minimum(x + missing * x * free / (x * free).sum(), have)
-        if np.abs(x - before).max(initial=0) < TOLERANCE * max(1.0, total):
+        room = (have - x) * (goal > 0) if missing > 0 else x - least
+        room = room if room.sum() > 0 or missing < 0 else have - x
+        if abs(missing) <= TOLERANCE * total or room.sum() <= 0:
             break
+        x = np.clip(x + missing * room / room.sum(), least, have)
     return x
 
 
-def whole(x: np.ndarray, have: np.ndarray, total: int) -> np.ndarray:
-    """Whole counts near x, at most ``have``, with the sum ``total`` where supply allows (largest remainders)."""
-    n = np.minimum(np.floor(x + 1e-9), have).astype(np.int64)
-    left = int(min(total, have.sum()) - n.sum())
-    for i in np.argsort(-(x - n), kind="stable"):
-        if left > 0 and n[i] < have[i] and x[i] > 0:
-            n[i] += 1
-            left -= 1
-    while left > 0:
-        room = np.where(x > 0, have - n, 0) if (np.where(x > 0, have - n, 0) > 0).any() else have - n
-        i = int(np.argmax(room))
-        step = int(min(left, room[i]))
-        n[i] += step
-        left -= step
-    return n
-
-
-def repair(n: np.ndarray, have: np.ndarray, least: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Raise categories to their minimum as far as supply goes, taking from those furthest above theirs."""
-    n, floor = n.copy(), np.minimum(least, have)
-    lack = int(np.maximum(floor - n, 0).sum())
-    n = np.maximum(n, floor)
-    while lack > 0 and (spare := n - floor).max(initial=0) > 0:
-        over = np.where(spare > 0, n - x, -np.inf)
-        n[int(np.argmax(over))] -= 1
-        lack -= 1
-    return n
-
-
-def _allocate(pdf: pd.DataFrame) -> pd.DataFrame:
+def whole(n: np.ndarray, low: np.ndarray, high: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers between ``low`` and ``high`` whose sum is ``total``, or as near to it as these allow, and
+    that differ from ``n`` by as little as possible: all move by one common amount up to their bounds."""
+    total = int(np.clip(total, low.sum(), high.sum()))
+    at = lambda shift: np.clip(n + shift, low, high)
+    span = int(np.abs(high - n).max(initial=0) + np.abs(low - n).max(initial=0)) + 1
+    under, over = -span, span
+    while over - under > 1:  # the largest common shift that does not exceed the sum
+        middle = (under + over) // 2
+        under, over = (middle, over) if at(middle).sum() <= total else (under, middle)
+    made = at(under)
+    rest = total - int(made.sum())
+    return made + np.isin(np.arange(len(n)), np.flatnonzero(at(under + 1) > made)[:rest])
+
+
+def repair(drawn: np.ndarray, near: np.ndarray, have: np.ndarray, size: int) -> np.ndarray:
+    """The counts that the sample ends with: drawn ones brought to one of the two whole numbers beside ``near``, the
+    raked counts with their minimums."""
+    low, high = np.floor(near + 1e-6).astype(np.int64), np.minimum(np.ceil(near - 1e-6).astype(np.int64), have)
+    if high.sum() < min(size, have.sum()):
+        high = have
+    return whole(np.clip(drawn, low, high), low, high, size)
+
+
+def _cells(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list, int]:
     pdf = pdf.sort_values(CELL, kind="stable").reset_index(drop=True)
-    size = int(pdf["sample_size"].iloc[0])
-    have = pdf["supply"].to_numpy(np.int64)
-    goal = pdf["share"].to_numpy(float) * size
-    groups = [pdf.groupby(list(m), dropna=False).ngroup().to_numpy() for m in MARGINS]
-    x = rake(goal, have.astype(float), groups, float(size))
-    pdf["raked"] = x
-    pdf["quota"] = repair(whole(x, have, size), have, pdf["min_rows"].to_numpy(np.int64), x)
-    return pdf
+    return pdf, [pdf.groupby(list(m), dropna=False).ngroup().to_numpy() for m in MARGINS], int(pdf["sample_size"].iloc[0])
+
+
+def _raked(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, groups, size = _cells(pdf)
+    return pdf.assign(raked=rake(pdf["share"].to_numpy(float) * size, pdf["supply"].to_numpy(float), groups, float(size)))
 
 
-_ALLOCATION = "plan_id int, sample_size int, source string, kind string, has_diagram int, share double, min_rows int, wanted long, supply long, raked double, quota long"
+def _repaired(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Minimums are repaired by raking once more above them, so that the margins still hold where they can."""
+    pdf, groups, size = _cells(pdf)
+    drawn, raked, have, least = (pdf[c].to_numpy() for c in ("drawn_first", "raked", "supply", "min_rows"))
+    floor = np.minimum(least, have).astype(float)
+    near = rake(pdf["share"].to_numpy(float) * size, have.astype(float), groups, float(size), floor, raked)
+    return pdf.assign(repaired=near, quota=repair(drawn, near, have, size))
 
 
-def allocation(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, plan): the distinct ids by category, and for each category of each plan its supply,
-    raked count and quota."""
+_PLAN = "plan_id int, sample_size int, source string, kind string, has_diagram int, share double, min_rows int, wanted long, supply long"
+_COLUMNS = [c.split()[0] for c in _PLAN.split(", ")]
+
+
+def raked_plan(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, plan): the distinct ids by category, and each category of each plan with its supply and raked count."""
     cells = target_cells(targets)
     ids = materialize(supply(items, cells), "supply")
     counts = ids.groupBy(*CELL).agg(F.count("*").alias("supply"))
     known = cells.join(F.broadcast(counts), CELL, "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
-    columns = [c.split()[0] for c in _ALLOCATION.split(", ")][:9]
-    return ids, known.select(*columns).groupBy("plan_id").applyInPandas(_allocate, _ALLOCATION)
+    plan = known.select(*_COLUMNS).groupBy("plan_id").applyInPandas(_raked, _PLAN + ", raked double")
+    return ids, materialize(plan, "plan")
 
 
-def _key() -> Column:
-    """An exponential key by the row's weight: smaller is drawn earlier."""
+def keyed_rows(ids: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every id of each plan's categories with its exponential ``key``, of rate -log(1 - raked / supply), so that
+    raked of supply rows are expected to have a key of at most 1, and the ``range`` its uniform number lies in."""
+    rate = -F.log(1 - F.least(F.col("raked") / F.col("supply"), F.lit(1 - 1e-12)))
+    use = F.broadcast(plan.where("supply > 0").select("plan_id", *CELL, F.greatest(rate, F.lit(1e-12)).alias("rate")))
     u = (F.pmod(F.xxhash64("id", "plan_id", F.lit(SEED)), F.lit(2**52)) + 0.5) / float(2**52)
-    return -F.log(u) / F.col("weight")
+    keyed = ids.join(use, CELL).withColumn("u", u)
+    cut = F.least(F.floor((1 - F.col("u")) * RANGES), F.lit(RANGES - 1)).cast("int")  # keys fall as u rises
+    return keyed.withColumn("key", -F.log("u") / F.col("rate")).withColumn("range", cut).drop("rate", "u")
 
 
 def sample(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, plan): the drawn (plan_id, source, kind, has_diagram, id) and the plans' allocation.
+    """(rows, plan): the drawn (plan_id, source, kind, has_diagram, id), and the categories of the plans with supply,
+    raked count, ``drawn_first``, the rows that the keys alone drew, and ``quota``, their number after the repair.
 
     Draws do not depend on the cluster. An id counts once in a category. Plans without supply give no
-    rows; empty tables give empty results.
+    rows; empty tables give empty results. Rows of a category are cut by key ranges, so none is one task's window.
     """
-    ids, plan = allocation(items, targets)
-    plan = materialize(plan, "plan")
-    use = F.broadcast(plan.where("quota > 0").select("plan_id", *CELL, "quota", (F.col("raked") / F.col("supply")).alias("weight")))
-    weight = F.greatest("weight", F.lit(1e-12))
-    keyed = ids.join(use.withColumn("weight", weight), CELL).withColumn("key", _key())
-    span = 1 - F.exp(-F.col("key") * F.col("weight"))
-    keyed = keyed.withColumn("range", F.least(F.floor(span * RANGES), F.lit(RANGES - 1)).cast("int"))
+    ids, plan = raked_plan(items, targets)
     cell = ["plan_id", *CELL]
-    w = Window.partitionBy(*cell).orderBy("range")
-    counts = keyed.groupBy(*cell, "range").agg(F.count("*").alias("n"), F.first("quota").alias("q"))
-    cut = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("n"))
-    cut = F.broadcast(cut.where("before < q and upto >= q").select(*cell, F.col("range").alias("last"), (F.col("q") - F.col("before")).alias("more")))
-    marked = keyed.join(cut, cell, "left")
-    taken = marked.where("last is null or range < last").select(*cell, "id")
+    keyed = keyed_rows(ids, plan)
+    counts = materialize(keyed.groupBy(*cell, "range").agg(F.count("*").alias("n"), F.count_if(F.col("key") <= 1).alias("first")), "counts")  # at most RANGES a category
+    drawn = counts.groupBy(*cell).agg(F.sum("first").alias("drawn_first"))
+    known = plan.join(F.broadcast(drawn), cell, "left").withColumn("drawn_first", F.coalesce("drawn_first", F.lit(0)))
+    done = _PLAN + ", raked double, drawn_first long, repaired double, quota long"
+    plan = materialize(known.select(*_COLUMNS, "raked", "drawn_first").groupBy("plan_id").applyInPandas(_repaired, done), "quotas")
+    upto = F.sum("n").over(Window.partitionBy(*cell).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.join(F.broadcast(plan.select(*cell, "quota")), cell).withColumn("before", upto - F.col("n"))
+    # the range that holds the last row taken; a category that is taken whole has the last range there is
+    cut = F.broadcast(cut.where("before < quota").groupBy(*cell).agg(F.max("range").alias("last"), F.max_by(F.col("quota") - F.col("before"), "range").alias("more")))
+    marked = keyed.join(cut, cell).where("range <= last")
     edge = marked.where("range = last").withColumn("r", F.row_number().over(Window.partitionBy(*cell).orderBy("key", "id")))
-    return taken.union(edge.where("r <= more").select(*cell, "id")), plan
+    return marked.where("range < last").select(*cell, "id").union(edge.where("r <= more").select(*cell, "id")), plan
 
 
 def report(items: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every category of every plan: wanted, supply, raked and drawn rows, and the gap left to the target
-    share (drawn share minus target share) and to the minimum."""
+    """Every category of every plan: wanted, supply, raked, rows that the keys alone drew and drawn rows, and the gaps
+    left: to the target share (drawn share minus target share), to the minimum, and ``short``, whether the supply
+    is below what was wanted."""
     rows, plan = sample(items, targets)
     drawn = rows.groupBy("plan_id", *CELL).agg(F.count("*").alias("drawn"))
     out = plan.join(F.broadcast(drawn), ["plan_id", *CELL], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     size = F.sum("drawn").over(Window.partitionBy("plan_id"))
     gap = F.round(F.coalesce(F.try_divide(F.col("drawn"), size), F.lit(0.0)) - F.col("share"), 6)
     return out.select(
-        "plan_id", *CELL, "share", "min_rows", "wanted", "supply", F.round("raked", 6).alias("raked"), "drawn", gap.alias("share_gap"),
+        "plan_id", *CELL, "share", "min_rows", "wanted", "supply", F.round("raked", 4).alias("raked"), F.round("repaired", 4).alias("repaired"), "drawn_first", "drawn", gap.alias("share_gap"),
         F.greatest(F.lit(0), F.col("min_rows") - F.col("drawn")).alias("minimum_gap"), (F.col("supply") < F.col("wanted")).alias("short"),
     )
 
 
+def margin_report(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """(plan_id, margin, value, target, raked, repaired, drawn, possible): of every value of each margin the rows that
+    its share asks for, raked ones without and with the minimums, drawn ones, and whether the minimums and the supply
+    of its categories allow as many."""
+    r = report(items, targets).join(F.broadcast(targets.select(F.col("plan_id").cast("int").alias("plan_id"), "sample_size").distinct()), "plan_id")
+    values = F.array(*(F.struct(F.lit(m[0]).alias("margin"), F.col(m[0]).cast("string").alias("value")) for m in MARGINS))
+    target = F.sum(F.col("share") * F.col("sample_size"))
+    per = r.withColumn("m", F.explode(values)).groupBy("plan_id", "m").agg(
+        F.round(target, 4).alias("target"), F.round(F.sum("raked"), 2).alias("raked"), F.round(F.sum("repaired"), 2).alias("repaired"), F.sum("drawn").alias("drawn"),
+        ((F.sum("supply") >= target - 1e-6) & (F.sum(F.least("min_rows", "supply")) <= target + 1e-6)).alias("possible"),
+    )
+    return per.select("plan_id", "m.margin", "m.value", "target", "raked", "repaired", "drawn", "possible")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, plan = allocation(read(spark, sf_dir, "items"), read(spark, sf_dir, "sample_targets"))
-    return plan.where("supply < wanted").select("plan_id", *CELL)
+    """The categories that the report of the sample lists as short."""
+    return p2_report(spark, sf_dir).where("short").select("plan_id", *CELL)
 
 
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +209,11 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "items"), read(spark, sf_dir, "sample_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report}
+def p2_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return margin_report(read(spark, sf_dir, "items"), read(spark, sf_dir, "sample_targets"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p2_margins": p2_margins}
 ORACLE = {
     "p2_found": r"""
 WITH t AS (SELECT CAST(plan_id AS INTEGER) plan_id, lower(trim(source)) source, lower(trim(kind)) kind, CAST(has_diagram AS INTEGER) has_diagram,

@@ -121,3 +121,26 @@ def test_spans_equal_brute_force(spark):
         inside = {p for k in range(len(t or "") - 149) if t[k : k + 150] in others for p in range(k, k + 150)}
         assert amounts[i].shared_chars == len(inside), i
     assert spans.found_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("strip", [7, 512])
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_of_near_equal_figures(monkeypatch, strip, same):
+    """A cluster in which every pair is close, with ties, beside scattered rows."""
+    monkeypatch.setattr(vectors, "STRIP", strip)
+    rng = np.random.default_rng(5)
+    base = rng.random(256)
+    x = np.concatenate([base + 1e-4 * rng.random((120, 256)), rng.random((30, 256)) < 0.1, np.repeat(base[None] + 0.1, 9, 0)]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x)) * 3
+    a, b = (x, x) if same else (x[::2], x[1::2])
+    ia, ib = (ids, ids) if same else (ids[::2], ids[1::2])
+    got: dict = {}
+    for rows, others, scores in vectors._tile(a, b, ia, ib, vectors.VECTOR, 5, same):
+        for r, o, s in zip(rows.tolist(), others.tolist(), scores.tolist()):
+            got.setdefault(r, []).append((-s, o))
+    for p, q, ip, iq in [(a, b, ia, ib)] if same else [(a, b, ia, ib), (b, a, ib, ia)]:
+        sim = np.round(p @ q.T, vectors.DECIMALS)
+        for i in range(len(p)):
+            want = sorted((-sim[i, j], iq[j]) for j in range(len(q)) if iq[j] != ip[i] and sim[i, j] >= 0.9)[:5]
+            assert [o for _, o in sorted(got.get(ip[i], []))] == [o for _, o in want]
