@@ -220,17 +220,17 @@ def nearest_figures(items: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     by = ["field", "d1", "d2"]
     groups = rows.groupBy(*by).agg(F.min("pos").alias("rep"), F.count("*").alias("n"))
     members = materialize(join_to_groups(rows.drop("payload"), groups, by, "n", rows.count()).select("field", "pos", "rep"), "members")
-    classes = rows.join(members.where("pos = rep").select("field", "pos", "rep"), ["field", "pos"]).select("field", "rep", "payload")
+    classes = rows.join(members.where("pos = rep").select("field", "pos", "rep").hint("merge"), ["field", "pos"]).select("field", "rep", "payload")
     links = materialize(block_join(classes, k), "links")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("field", "rep").orderBy("pos"))).where(F.col("r") <= k + 1)
     own = first.select("field", "rep", F.col("pos").alias("other"), F.when(F.col("field") == VECTOR, 1.0).otherwise(0.0).alias("score"))
-    spread = links.join(first.select("field", F.col("rep").alias("other"), F.col("pos").alias("p")), ["field", "other"])
+    spread = links.hint("merge").join(first.select("field", F.col("rep").alias("other"), F.col("pos").alias("p")), ["field", "other"])
     every = own.union(spread.select("field", "rep", F.col("p").alias("other"), "score"))
     w = Window.partitionBy("field", "rep").orderBy(F.desc("score"), "other")
     best = every.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     lists = best.groupBy("field", "rep").agg(F.array_sort(F.collect_list(F.struct("r", "other", "score"))).alias("v"), F.max("r").alias("m"))
     sizes = members.groupBy("field", "rep").agg(F.count("*").alias("n"))
-    lists = materialize(lists.where("m > 1").join(sizes, ["field", "rep"]), "lists")
+    lists = materialize(lists.where("m > 1").join(sizes.hint("merge"), ["field", "rep"]), "lists")
     mine = join_to_groups(members, lists.select("field", "rep", "v", "n"), ["field", "rep"], "n", members.count())
     rest = F.slice(F.filter("v", lambda x: x["other"] != F.col("pos")), 1, k)
     out = mine.select("field", "pos", F.posexplode(rest).alias("i", "x"))
