@@ -131,18 +131,22 @@ PARTS, CELLS = 8, 4
 MAX_SYMBOLS = 28
 
 
+#: Signatures have so many bits, which travel 32 times a text; equal ones of different subsets only cost a comparison.
+SIGNATURE_BITS = 48
+
+
 def partenum_signatures(field: str = "field", mins: str = "mins") -> Column:
     """Array of the 32 signatures of a sketch of 16-bit values."""
     made = []
     for part in range(PARTS):
         at = lambda cell, n, p=part: F.substring(mins, 2 * (CELLS * p + cell) + 1, 2 * n)
         for left_out in range(CELLS):
-            made.append(F.xxhash64(F.col(field), F.lit(CELLS * part + left_out), at(0, left_out), at(left_out + 1, CELLS - 1 - left_out)))
+            made.append(F.shiftrightunsigned(F.xxhash64(F.col(field), F.lit(CELLS * part + left_out), at(0, left_out), at(left_out + 1, CELLS - 1 - left_out)), 64 - SIGNATURE_BITS))
     return F.array(*made)
 
 
 def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches, classes, links) of the texts in ``fields``; rows have a unique ``pos``.
+    """(sketches, classes, links) of the texts in one or two ``fields``; rows have a unique ``pos`` of at most 62 bits.
 
     classes: one row per field and cleaned text with its smallest pos ``rep`` and its rows ``n``;
     links: verified pairs (field, a, b) of class representatives.
@@ -151,10 +155,13 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     classes = sk.groupBy("field", "h1", "h2").agg(F.min("pos").alias("rep"), F.count("*").alias("n"))
     reps = sk.join(classes.select("field", F.col("rep").alias("pos")), ["field", "pos"]).select("field", "pos", "fp1", "fp2", "mins")
     reps = materialize(reps, "reps")
-    sigs = reps.select("field", "pos", "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
+    own = F.shiftleft("pos", 1).bitwiseOR(F.col("field").cast("long"))  # field and pos as one number, as every byte counts here
+    sigs = reps.select(own.alias("own"), "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
     near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
-    met = pairs_within(sigs, ["field", "sig"], "pos", reps.count() * PARTS * CELLS, near, ["field", "pos"])
-    pairs = materialize(met.select(F.col("x_field").alias("field"), F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
+    same_field = F.col("x.own").bitwiseXOR(F.col("y.own")).bitwiseAND(F.lit(1).cast("long")) == 0
+    met = pairs_within(sigs, ["sig"], "own", reps.count() * PARTS * CELLS, same_field & near, ["own"]).distinct()
+    pairs = met.select(F.col("x_own").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("field"), F.shiftright("x_own", 1).alias("a"), F.shiftright("y_own", 1).alias("b"))
+    pairs = materialize(pairs, "pairs")
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
     texts = reduce(DataFrame.union, (rows.select("pos", F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))

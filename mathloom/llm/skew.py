@@ -64,7 +64,7 @@ def pairs_within(
     left, right = sides or (F.lit(True), F.lit(True))
     kept = condition if condition is not None else F.lit(True)
     x_id, y_id = F.col(f"x.{row_id}"), F.col(f"y.{row_id}")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
+    parts = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
 
     same = lambda *more: reduce(and_, (F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*keys, *more)))
     once = rows.join(hot.select(*keys), keys, "left_anti").repartition(parts, *keys)
