@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.llm.tables import read
 
-#: Folder of the vocabulary files on every executor; None asks the installed package.
+#: Folder of the vocabulary files on the driver; None asks the installed package.
 TOKENIZER_DIR: str | None = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 
@@ -157,15 +159,31 @@ class Vocabulary:
             flat[base + node] = np.minimum(flat[child], flat[child + 1])
 
 
-@functools.cache
-def vocabulary(folder: str | None = None, name: str = VOCABULARY) -> Vocabulary:
-    import os
-
-    if folder is None or not os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
+def _file(folder: str | None, name: str) -> str:
+    path = os.path.join(folder, f"{name}.tiktoken") if folder else ""
+    if not os.path.exists(path):
         import public_tokenizers
 
-        return Vocabulary(public_tokenizers.path(f"{name}.tiktoken"))
-    return Vocabulary(os.path.join(folder, f"{name}.tiktoken"))
+        path = public_tokenizers.path(f"{name}.tiktoken")
+    return path
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def send_vocabulary(spark: SparkSession, folder: str | None = None, name: str = VOCABULARY) -> None:
+    """Send the rank file from the driver to all executors, once an application, so that none needs the folder."""
+    context = spark.sparkContext
+    if (context.applicationId, name) not in _sent:
+        context.addFile(_file(folder, name))
+        _sent.add((context.applicationId, name))
+
+
+@functools.cache
+def vocabulary(folder: str | None = None, name: str = VOCABULARY) -> Vocabulary:
+    """The vocabulary: in a task that of the file that was sent, elsewhere that of the folder or the installed package."""
+    sent = SparkFiles.get(f"{name}.tiktoken") if TaskContext.get() else ""
+    return Vocabulary(sent if os.path.exists(sent) else _file(folder, name))
 
 
 class Encoder:
@@ -209,6 +227,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: st
     """(key, ids) of every row; null and empty texts get an empty list, strings that look like special
     tokens are plain text. Rows stay as they are, repeated keys included; a null key is kept."""
     kind = dict(docs.dtypes)[key]
+    send_vocabulary(docs.sparkSession, folder)
 
     def run(batches):
         encode = Encoder(vocabulary(folder))
@@ -223,6 +242,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: st
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = TOKENIZER_DIR) -> DataFrame:
     """(key, n_tokens) of every row; only the numbers leave the Python workers."""
     kind = dict(docs.dtypes)[key]
+    send_vocabulary(docs.sparkSession, folder)
 
     def run(batches):
         encode = Encoder(vocabulary(folder))

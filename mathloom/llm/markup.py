@@ -1,9 +1,9 @@
 """Problem 4: texts with left-over HTML, Markdown, wiki or LaTeX markup.
 
 The named method, a suffix array over the documents of a host, finds passages that repeat across
-documents; it cannot tell markup from text or keep headings and lists. A lexer does this instead:
-formulas and code are set aside, markup constructs are recognised and rewritten to plain text with
-one block a line, then formulas and code come back unchanged.
+documents; it cannot tell markup from text or keep headings and lists (README has figures). A lexer does
+this instead: formulas and code are set aside, markup constructs are recognised and rewritten to plain text
+with one block a line, then formulas and code come back unchanged.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ FIELDS = ("original_text", "normalized_text")
 # Names that are read as HTML tags, as mathematical environments and as text commands.
 _TAGS = (
     "a abbr address article aside b big blockquote body br caption center cite code col dd del div dl dt em figure font footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main meta nav ol option p pre q ref s script section "
+    "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main math meta nav ol option p pre q ref s script section "
     "select small span strike strong style sub summary sup table tbody td tfoot th thead title tr tt u ul var video wbr"
 )
 _MATH_ENV = (
@@ -145,6 +145,7 @@ _BARE_LEFT = [
     (re.compile(r"\\pmod\s*\{([^{}]*)\}"), r"(mod \1)"),
 ]
 _WITH_ARGUMENT = re.compile(r"\\([A-Za-z]+)\*?\{([^{}]*)\}")
+_WITH_ONE_ARGUMENT = re.compile(r"\\(?![dtc]?frac|[dt]?binom)([A-Za-z]+)\*?\{([^{}]*)\}")
 
 
 def _all_of(subs: list[tuple[re.Pattern, object]], t: str) -> str:
@@ -168,16 +169,44 @@ def _sign(name: str, cut: bool) -> str:
 def _without_commands(t: str, cut: bool) -> str:
     """Every command outside formulas by its sign, argument or name."""
     t = re.sub(r"\^\s*(?:\{\s*\\circ\s*\}|\\circ(?![A-Za-z]))", "°", t)
-    named = (_WITH_ARGUMENT, lambda m: ("" if m[1] not in _SIGNS and not cut else _sign(m[1], cut)) + m[2])
-    t = _all_of([*_BARE_LEFT, named], t)
+    by_name = lambda m: ("" if m[1] not in _SIGNS and not cut else _sign(m[1], cut)) + m[2]
+    t = _all_of([*_BARE_LEFT, (_WITH_ONE_ARGUMENT, by_name)], t)  # what stands inside a fraction before the fraction
+    t = _all_of([*_BARE_LEFT, (_WITH_ARGUMENT, by_name)], t)
     return re.sub(r"\\([A-Za-z]+)\*?" if cut else r"\\([A-Za-z]{2,})\*?", lambda m: _sign(m[1], cut), t)
 
 
+def _item(depth: int) -> str:
+    """The mark of a list item of a depth from 1."""
+    return f"\u241f{min(9, max(1, depth))}"
+
+
+_LISTS = re.compile(
+    r"(?P<open><[uo]l\b[^<>]*>|\\begin\{(?:itemize|enumerate|description)\}(?:\[[^\]]*\])?)|(?P<close></[uo]l\s*>|\\end\{(?:itemize|enumerate|description)\})"
+    r"|(?P<item><li\b[^<>]*>|\\item\b\s*(?:\[[^\]]*\])?)", re.I,
+)
+_NUMBERED = re.compile(r"(?m)^([ \t]*)(?=\d{1,3}[.)][ \t]+\S)")
+_NUMBER = re.compile(r"\d{1,3}[.)] ")
+_WIKI_MATH = re.compile(r"<math\b[^<>]*>(.*?)</math\s*>|\{\{math\|((?:[^{}]|\{[^{}]*\})*)\}\}", re.S | re.I)
+
+
+def _with_depths(t: str) -> str:
+    """Items of nested lists marked with their depth; numbered lines of lists of at least two keep their number."""
+    depth = 0
+
+    def mark(m: re.Match) -> str:
+        nonlocal depth
+        depth = max(0, depth + (m["open"] is not None) - (m["close"] is not None))
+        return "\n" + (_item(depth) if m["item"] else "")
+
+    t = _LISTS.sub(mark, t)
+    many = len(_NUMBERED.findall(t)) > 1
+    return _NUMBERED.sub(lambda m: _item(len(m[1].expandtabs(4)) // 2 + 1), t) if many else t
+
+
 _SUBS: list[tuple[re.Pattern, object]] = [
     (re.compile(r"<!--.*?-->", re.S), ""),
     (re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I), ""),
     (re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.S | re.I), lambda m: f"\n\u241e{m[1]}{m[2].strip()}\n"),
-    (re.compile(r"<li\b[^<>]*>", re.I), "\n• "),
     (re.compile(r"</(?:td|th)\s*>\s*(?=<t[dh]\b)", re.I), "\t"),
     (re.compile(r"<img\b[^<>]*?\balt\s*=\s*\"([^\"]*)\"[^<>]*>", re.I), r"\1"),
     (re.compile(r"<ref\b[^<>]*/>", re.I), ""),
@@ -188,13 +217,12 @@ _SUBS: list[tuple[re.Pattern, object]] = [
     (re.compile(r"\\(?:label|cite|ref|vspace|hspace)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\setlength\{[^{}]*\}\{[^{}]*\}"), " "),
     (re.compile(r"\\(?:usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}"), "\n"),
     (re.compile(r"\\(?:author|date)\{([^{}]*)\}"), r"\n\1\n"),
-    (re.compile(r"\\item\b\s*(?:\[[^\]]*\])?"), "\n• "),
     (re.compile(r"\\begin\{(?:tabular|array)\*?\}(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?"), "\n"),
     (re.compile(r"\\(?:noindent|centering|par|newline|newpage|clearpage|pagebreak|indent|medskip|bigskip|smallskip|hfill|vfill|maketitle|hline)(?![A-Za-z])\s?|\\\\"), "\n"),
     (re.compile(r"(?m)^[ \t]*\{\|.*$|^[ \t]*\|[-}].*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$"), ""),
     (re.compile(r"(?m)^(={2,6})[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*$|^[ ]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t#]*$"), lambda m: f"\u241e{len(m[1] or m[3])}{m[2] or m[4]}"),
     (re.compile(r"(?m)^[ ]{0,3}>[ \t]+"), ""),
-    (re.compile(r"(?m)^[ \t]*[-*+][ \t]+(?=\S)"), "• "),
+    (re.compile(r"(?m)^([ \t]*)([-+]|\*{1,6})[ \t]+(?=\S)"), lambda m: _item(len(m[1].expandtabs(4)) // 2 + len(m[2]))),
     (re.compile(r"(?m)^[ \t]*\|(.*?)\|?[ \t]*$"), lambda m: "\t".join(c.strip() for c in re.split(r"\|{1,2}", m[1]))),
     (re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*[./#][^()\s]*\)"), r"\1"),
     (re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]"), r"\1"),
@@ -206,12 +234,12 @@ _SUBS: list[tuple[re.Pattern, object]] = [
 ]
 _CODE = re.compile(r"```[ \t]*\w*\n?(.*?)```|`([^`\n]+)`|<(pre|code)\b[^<>]*>(.*?)</\3\s*>", re.S | re.I)
 _VERB = re.compile(r"\\verb\*?([^A-Za-z*\s{])(.*?)\1")
-_HEADING, _HELD = "\u241e", re.compile("\ufff9(\\d+)\ufffa")
+_HEADING, _ITEM, _HELD = "\u241e", "\u241f", re.compile("\ufff9(\\d+)\ufffa")
 
 
 def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[str, str, int | None]] | None:
-    """(kind, text, level) of each block: heading, item, code, formula or text; only headings have a level, from 1. Null gives null, an empty text
-    no block; a text without markup is one block of text, unchanged."""
+    """(kind, text, level) of each block: heading, item, code, formula or text; headings have a level and items a depth, from 1. Null gives null, an
+    empty text no block; a text without markup is one block of text, unchanged."""
     if text is None:
         return None
     if not text.strip():
@@ -230,9 +258,14 @@ def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[s
         block = m[1] if m[1] is not None else m[4] if (m[3] or "").lower() == "pre" else None
         return f"\n{hold('code', block.strip(chr(10)))}\n" if block is not None else hold("inline", m[2] or m[4] or "")
 
-    t = _CODE.sub(code, re.sub("[\ufff9\ufffa\u241e]", "", text))
+    def math(m: re.Match) -> str:
+        body = (m[1] if m[1] is not None else m[2]).strip()
+        return body if field == "normalized_text" else hold("formula", f"${body}$" if "\\" in body else body)
+
+    t = _CODE.sub(code, re.sub("[\ufff9\ufffa\u241e\u241f]", "", text))
     bare = field == "normalized_text" or not _ANY_MATH.search(t)
     t = FORMULA.sub(lambda m: hold("formula", m.group()), t) if field == "original_text" else t
+    t = _with_depths(_WIKI_MATH.sub(math, t))
     t = _all_of(_INLINE, _VERB.sub(lambda m: hold("inline", m[2]), t))
     for p, to in _SUBS:
         t = p.sub(to, t)
@@ -246,12 +279,12 @@ def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[s
         line = re.sub(r"[ \r]{2,}", " ", line).strip(" \r")
         if not line:
             continue
-        kind = "heading" if line.startswith(_HEADING) else "item" if line.startswith("• ") else "text"
+        kind = "heading" if line.startswith(_HEADING) else "item" if line.startswith(_ITEM) else "text"
         whole = _HELD.fullmatch(line)
         if whole and held[int(whole[1])][0] in ("code", "formula"):
             kind = held[int(whole[1])][0]
-        level = int(line[1]) if kind == "heading" else None
-        line = line[2:].replace(_HEADING, "").strip() if kind == "heading" else line[2:].strip() if kind == "item" else line
+        level = int(line[1]) if kind in ("heading", "item") else None
+        line = re.sub(f"[{_HEADING}{_ITEM}]\\d", "", line).strip() if level else re.sub(f"[{_HEADING}{_ITEM}]", "", line)
         while _HELD.search(line):
             line = _HELD.sub(lambda m: held[int(m[1])][1], line)
         if line:
@@ -259,10 +292,14 @@ def clean_blocks(text: str | None, field: str = "original_text") -> list[tuple[s
     return blocks
 
 
+def rendered(blocks: list[tuple[str, str, int | None]] | None) -> str | None:
+    """Blocks as a text of one block a line; items begin with a bullet or their number."""
+    return None if blocks is None else "\n".join("• " + t if kind == "item" and not _NUMBER.match(t) else t for kind, t, _ in blocks)
+
+
 def clean_text(text: str | None, field: str = "original_text") -> str | None:
-    """The blocks of a text, one a line; items begin with a bullet."""
-    blocks = clean_blocks(text, field)
-    return None if blocks is None else "\n".join("• " + t if kind == "item" else t for kind, t, _ in blocks)
+    """The blocks of a text, one a line."""
+    return rendered(clean_blocks(text, field))
 
 
 _OUT = "pos long, field string, kinds array<string>, blocks array<struct<kind:string, text:string, level:int>>, clean_text string"
@@ -283,8 +320,7 @@ def without_markup(items: DataFrame, only_marked: bool = False) -> DataFrame:
                     kinds = markup_kinds(t, field)
                     if kinds or not only_marked:
                         blocks = clean_blocks(t, field)
-                        text = None if blocks is None else "\n".join("• " + x if kind == "item" else x for kind, x, _ in blocks)
-                        out.append((p, field, kinds, None if blocks is None else [{"kind": x, "text": y, "level": n} for x, y, n in blocks], text))
+                        out.append((p, field, kinds, None if blocks is None else [{"kind": x, "text": y, "level": n} for x, y, n in blocks], rendered(blocks)))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("level", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["pos", "field", "kinds", "blocks", "clean_text"])

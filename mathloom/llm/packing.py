@@ -12,6 +12,7 @@ import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Window_
 from pyspark.sql import functions as F
 
 from mathloom.llm.bpe import TOKENIZER_DIR, token_counts
@@ -95,14 +96,17 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
 
     A container's id is a string. Items of size 0 or null take a place of no tokens, so every row of
     ``sizes`` comes out; only items above the capacity have more than one piece. Items of equal size
-    and repeated keys are separate items. The packing depends on the keys' order, not on the cluster.
+    and repeated keys are separate items. The packing depends on the keys' order and on the
+    numbers of tokens and items, which fix the partitions, not on the cluster.
     """
     kind = dict(sizes.dtypes)[key]
     items = materialize(pieces(sizes, key, size, capacity), "pieces")
     total, rows = items.agg(F.sum("n"), F.count("*")).first()
     parts = max(1, (total or 0) // PARTITION_TOKENS, rows // 1_000_000)
-    full = items.where(F.col("n") == capacity).select(
-        F.concat(F.lit("full-"), F.col(key).cast("string"), F.lit("-"), F.col("piece").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("container"),
+    again = F.row_number().over(Window_.partitionBy(key, "piece").orderBy("pieces"))  # of items with the same key
+    name = F.concat_ws("-", F.lit("full"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("piece").cast("string"), F.col("again").cast("string"))
+    full = items.where(F.col("n") == capacity).withColumn("again", again).select(
+        name.alias("container"),
         key, "piece", "pieces", "start", "n",
     )
     loose = items.where(F.col("n") < capacity)

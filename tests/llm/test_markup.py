@@ -33,3 +33,18 @@ def test_every_text_command(name):
 def test_heading_levels():
     text = "# A\n### B\n== C ==\n<h4>D</h4>\n\\subsection{E}\nf"
     assert M.clean_blocks(text) == [("heading", "A", 1), ("heading", "B", 3), ("heading", "C", 2), ("heading", "D", 4), ("heading", "E", 3), ("text", "f", None)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</ul>", [("item", "a", 1), ("item", "b", 2), ("item", "c", 2), ("item", "d", 1)]),
+    ("# A\n1. x\n2) y", [("heading", "A", 1), ("item", "1. x", 1), ("item", "2) y", 1)]), ("- a\n  - b\n    + c", [("item", "a", 1), ("item", "b", 2), ("item", "c", 3)]),
+    ("* a\n** b", [("item", "a", 1), ("item", "b", 2)]), (r"\begin{itemize}\item a \begin{enumerate}\item b\end{enumerate}\item c\end{itemize}", [("item", "a", 1), ("item", "b", 2), ("item", "c", 1)]),
+    ("<math>x^2</math>", [("formula", "x^2", None)]), ("{{math|x^2+1}} is", [("text", "x^2+1 is", None)]), (r"a <math>\frac{1}{2}</math>", [("text", r"a $\frac{1}{2}$", None)]),
+])
+def test_lists_and_formulas_are_kept(text, want):
+    assert M.markup_kinds(text, "original_text") and M.clean_blocks(text) == want
+
+
+@pytest.mark.parametrize("text,want", [(r"\frac{1}{2}+x", "(1/2)+x"), (r"\dfrac{a}{b}", "(a/b)"), (r"\frac{\frac{1}{2}}{3}", "((1/2)/3)"), (r"<math>\frac{1}{2}</math>", "(1/2)")])
+def test_fractions_of_normalized_text(text, want):
+    assert M.clean_text(text, "normalized_text") == want
