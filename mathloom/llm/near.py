@@ -304,3 +304,34 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups}
+
+
+_TRIMMED = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
+_GRAMS = f"unnest(list_distinct(list_transform(range(1, length(t) - {S.GRAM - 2}), lambda i: substr(t, i, {S.GRAM}))))"
+_CLEANED = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_SIMILAR = f"c / (x.n + y.n - c) >= {THRESHOLD} - 1e-12"
+_OVERLAPS = f"""
+WITH r AS (SELECT pos, {_TRIMMED.format('split')} s, {_TRIMMED.format('source')} src, {_CLEANED.format('original_text')} t FROM items WHERE pos IS NOT NULL),
+  k AS (SELECT * FROM r WHERE s IS NOT NULL AND length(t) >= {S.MIN_CHARS}), g AS (SELECT pos, s = 'train' train, {_GRAMS} g FROM k), n AS (SELECT pos, count(*) n FROM g GROUP BY pos),
+  c AS (SELECT a.pos p, b.pos q, count(*) c FROM g a JOIN g b USING (g) WHERE a.train AND NOT b.train GROUP BY ALL),
+  o AS (SELECT p, q FROM c JOIN n x ON x.pos = p JOIN n y ON y.pos = q WHERE {_SIMILAR})"""
+_LINKS = f"""
+WITH RECURSIVE r AS (SELECT pos, 0 f, {_CLEANED.format('original_text')} t FROM items WHERE pos IS NOT NULL
+    UNION ALL SELECT pos, 1, CASE WHEN coalesce({_TRIMMED.format('source')}, '') <> 'geometry3k' THEN {_CLEANED.format('structure_text')} END FROM items WHERE pos IS NOT NULL),
+  k AS (SELECT f, t, min(pos) pos FROM r WHERE length(t) >= {S.MIN_CHARS} GROUP BY f, t), g AS (SELECT f, pos, {_GRAMS} g FROM k), n AS (SELECT f, pos, count(*) n FROM g GROUP BY ALL),
+  c AS (SELECT a.f, a.pos p, b.pos q, count(*) c FROM g a JOIN g b ON a.f = b.f AND a.g = b.g WHERE a.pos < b.pos GROUP BY ALL),
+  l AS (SELECT c.f, p, q FROM c JOIN n x ON x.f = c.f AND x.pos = p JOIN n y ON y.f = c.f AND y.pos = q WHERE {_SIMILAR}),
+  m AS (SELECT r.f, r.pos, k.pos rep FROM r JOIN k ON k.f = r.f AND k.t = r.t),
+  e AS (SELECT p, q FROM l UNION SELECT q, p FROM l UNION SELECT pos, rep FROM m WHERE pos <> rep UNION SELECT rep, pos FROM m WHERE pos <> rep),
+  z AS (SELECT p, q FROM e UNION SELECT z.p, e.q FROM z JOIN e ON e.p = z.q), h AS (SELECT p pos, min(q) group_pos FROM z GROUP BY p)"""
+ORACLE = {
+    "p3_found": _OVERLAPS + " SELECT least(p, q) pos_a, greatest(p, q) pos_b FROM o",
+    "p3_report": _OVERLAPS
+    + """, e AS (SELECT a.s, a.src, q, bool_or(a.t = b.t) same, count(*) n FROM o JOIN r a ON a.pos = q JOIN r b ON b.pos = p GROUP BY ALL)
+SELECT r.s AS split, r.src AS source, count(*) AS "rows", count(e.q) overlapping, CAST(coalesce(sum(e.same::INT), 0) AS BIGINT) exact, CAST(coalesce(sum(e.n), 0) AS BIGINT) train_rows
+FROM r LEFT JOIN e ON e.q = r.pos WHERE r.s <> 'train' GROUP BY r.s, r.src""",
+    "p5_found": _LINKS + " SELECT group_pos, pos FROM h WHERE group_pos < pos",
+    "p5_groups": _LINKS
+    + """, d AS (SELECT f, p rep FROM l UNION ALL SELECT f, q FROM l), s AS (SELECT m.pos, count(*) n FROM m JOIN d ON d.f = m.f AND d.rep = m.rep GROUP BY m.pos)
+SELECT i.pos, least(i.pos, coalesce(group_pos, i.pos)) group_pos, coalesce(n, 0) links FROM items i LEFT JOIN h ON h.pos = i.pos LEFT JOIN s ON s.pos = i.pos WHERE i.pos IS NOT NULL""",
+}

@@ -187,4 +187,16 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shared": p10_shared}
-ORACLE: dict[str, str] = {}
+_WINDOWS = f"""
+WITH d AS (SELECT doc_id, text, md5(text) k FROM documents WHERE length(text) >= {MIN_SHARED}),
+  w AS (SELECT doc_id, k, i, md5(substr(text, i, {MIN_SHARED})) h FROM (SELECT doc_id, k, text, unnest(range(1, length(text) - {MIN_SHARED - 2})) i FROM d))"""
+ORACLE = {
+    "p10_found": _WINDOWS + ", u AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id doc_id_a, b.doc_id doc_id_b FROM u a JOIN u b USING (h) WHERE a.doc_id < b.doc_id",
+    "p10_shared": _WINDOWS
+    + f""", u AS (SELECT DISTINCT k, h FROM w), m AS (SELECT h FROM u GROUP BY h HAVING count(*) > 1),
+  c AS (SELECT doc_id, sum(step) c FROM (SELECT doc_id, least({MIN_SHARED}, lead(i, 1, i + {MIN_SHARED}) OVER (PARTITION BY doc_id ORDER BY i) - i) step FROM w WHERE h IN (SELECT h FROM m)) GROUP BY doc_id),
+  p AS (SELECT a.k, count(DISTINCT b.k) n FROM u a JOIN u b ON a.h = b.h AND a.k <> b.k GROUP BY a.k), e AS (SELECT k, count(*) copies FROM d GROUP BY k)
+SELECT x.doc_id, CAST(coalesce(length(x.text), 0) AS INTEGER) n_chars, CAST(CASE WHEN copies > 1 THEN length(x.text) ELSE coalesce(c.c, 0) END AS INTEGER) shared_chars,
+  coalesce(p.n, 0) partners, coalesce(e.copies, 1) copies
+FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN e ON e.k = d.k LEFT JOIN p ON p.k = d.k LEFT JOIN c ON c.doc_id = x.doc_id""",
+}

@@ -248,4 +248,15 @@ def p7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_nearest": p7_nearest}
-ORACLE: dict[str, str] = {}
+_NEAREST = f"""
+WITH v AS (SELECT pos, CAST(diagram_vector AS DOUBLE[]) v FROM items WHERE len(diagram_vector) = {DIMS} AND len(list_filter(diagram_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(diagram_vector, lambda x: x <> 0)) > 0),
+  h AS (SELECT pos, CAST('0x' || substr(phash, 1, 8) AS BIGINT) a, CAST('0x' || substr(phash, 9, 8) AS BIGINT) b FROM items WHERE regexp_full_match(phash, '[0-9a-fA-F]{{16}}')),
+  s AS (SELECT 'diagram_vector' field, a.pos, b.pos other, list_cosine_similarity(a.v, b.v) s FROM v a JOIN v b ON a.pos <> b.pos
+    UNION ALL SELECT 'phash', x.pos, y.pos, 0 - CAST(bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) AS DOUBLE) FROM h x JOIN h y ON x.pos <> y.pos),
+  t AS (SELECT field, pos, other, CASE WHEN field = 'phash' THEN s ELSE round(s, {DECIMALS}) END score FROM s WHERE s >= CASE WHEN field = 'phash' THEN -{MAX_BITS} ELSE {MIN_COSINE} - 1e-9 END),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY field, pos ORDER BY score DESC, other) AS INTEGER) AS "rank" FROM t)"""
+ORACLE = {
+    "p7_nearest": _NEAREST + f' SELECT field, pos, other, score, "rank" FROM r WHERE "rank" <= {NEIGHBOURS}',
+    "p7_found": _NEAREST + f' SELECT DISTINCT field, least(pos, other) pos_a, greatest(pos, other) pos_b FROM r WHERE "rank" <= {NEIGHBOURS}',
+}
