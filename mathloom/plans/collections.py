@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.operators import index as I
+from mathloom.plans.texts import normalized_sql, structure_sql
 from mathloom.sources import records as R
 from mathloom.tables import read_table as read
 
@@ -59,10 +60,24 @@ def redelivered_figures(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("pos_a", "pos_b", cos.alias("cosine"), I.hamming(F.col("ha"), F.col("hb")).alias("bits"))
 
 
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest rows of all items."""
+    items = read(spark, d, "items")
+    return R.manifest_rows(items.where("id is not null")).select("id", "source", "kind", "type", "split", "level", "has_diagram")
+
+
+def source_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every source in the fixed order of ingest, each counted where it comes first."""
+    mwp = R.word_problems(read(spark, d, "mwp_raw"))
+    parts = [mwp.where("source = 'ape'"), mwp.where("source = 'cm17k'"), R.geometry_problems(read(spark, d, "geometry3k_raw")), R.competition_problems(read(spark, d, "math_raw"))]
+    return R.first_of_each(parts).groupBy("source").agg(F.count("*").alias("items"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        word_problems, word_problem_texts, competition_problems, competition_answers, geometry_problems, all_sources, source_counts, first_deliveries, redelivered_figures,
+        word_problems, word_problem_texts, competition_problems, competition_answers, geometry_problems, all_sources, source_counts, first_deliveries, redelivered_figures, manifest_rows,
+        source_sizes,
     )
 }
 
@@ -70,7 +85,10 @@ _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _TRIM = rf"'^{_SPACE}+|{_SPACE}+$', '', 'g'"
 _first = lambda *names: "coalesce(" + ", ".join(f"nullif(json_extract_string(record, '$.{n}'), '')" for n in names) + ")"
 _cjk = rf"'([一-鿿]){_SPACE}+([一-鿿])', '\1\2', 'g'"
+_BRACES = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"  # braces three deep
 ORACLE = {
+    "manifest_rows": """
+SELECT id, source, kind, type, split, level, coalesce(phash, '') <> '' OR coalesce(len(diagram_vector) > 0, false) OR coalesce(image, '') <> '' has_diagram FROM items WHERE id IS NOT NULL""",
     "word_problems": rf"""
 WITH r AS (SELECT line_no, lower(trim(source)) = 'cm17k' cm, record FROM mwp_raw WHERE json_valid(record)),
   f AS (SELECT line_no pos, cm, coalesce({_first('original_text', 'text', 'segmented_text')}, '') t0,
@@ -114,3 +132,20 @@ SELECT pos_a, pos_b, CASE WHEN fine THEN round(coalesce(list_sum(list_transform(
   CASE WHEN hex THEN CAST(bit_count(xor(CAST('0x' || substr(ha, 1, 8) AS BIGINT), CAST('0x' || substr(hb, 1, 8) AS BIGINT)))
     + bit_count(xor(CAST('0x' || substr(ha, 9, 8) AS BIGINT), CAST('0x' || substr(hb, 9, 8) AS BIGINT))) AS INTEGER) END bits FROM ok""",
 }
+ORACLE["source_sizes"] = f"""
+WITH w AS ({ORACLE["word_problems"]}), g AS ({ORACLE["geometry_problems"]}), c AS ({ORACLE["competition_problems"]}),
+  u AS (SELECT CASE source WHEN 'ape' THEN 0 ELSE 1 END part, id, source FROM w UNION ALL SELECT 2, id, source FROM g UNION ALL SELECT 3, id, source FROM c)
+SELECT source, count(*) items FROM (SELECT id, arg_min(source, part) AS source FROM u GROUP BY id) GROUP BY source"""
+_MATH_ROWS, _MATH_COLUMNS = ORACLE["competition_problems"].split("\nSELECT ")
+_LAST_BOX = r"regexp_replace(regexp_extract(solution, '(?s)^.*\\boxed(.*)$', 1), '^[\s]+', '')"
+ORACLE["competition_answers"] = rf"""{_MATH_ROWS},
+  a AS (SELECT {_MATH_COLUMNS.split(" id,")[0]} id, coalesce(nullif(stem, ''), p) t, contains(solution, '\boxed') has, {_LAST_BOX} b FROM s),
+  n AS (SELECT id, has, b, {normalized_sql('t')} normalized_text FROM a)
+SELECT id, CASE WHEN NOT has THEN NULL WHEN starts_with(b, '{{') THEN nullif(regexp_replace(regexp_extract(b, '^\{{({_BRACES})\}}', 1), {_TRIM}), '') ELSE nullif(regexp_extract(b, '^[^\s]+'), '') END ans,
+  normalized_text, {structure_sql('normalized_text')} structure_text FROM n WHERE normalized_text <> ''"""
+_WORD_ROWS = ORACLE["word_problems"].split("\nSELECT ")[0]
+ORACLE["word_problem_texts"] = f"""
+{_WORD_ROWS}, n AS (SELECT pos, t original_text, e, {normalized_sql('t')} normalized_text, {normalized_sql('e')} q FROM t),
+  s AS (SELECT *, {structure_sql('normalized_text')} structure_text FROM n WHERE normalized_text <> '')
+SELECT pos, original_text, normalized_text, structure_text, CASE WHEN e IS NOT NULL THEN nullif({structure_sql('q')}, '') END equation_template,
+  'vg_' || substr(sha1(structure_text), 1, 16) variant_group_id FROM s"""

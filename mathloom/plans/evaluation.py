@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mathloom.config import SearchConfig
 from mathloom.operators import evaluate as E
+from mathloom.operators import search as S
 from mathloom.tables import read_table as read
 
 #: Rows of each source that a task set takes.
@@ -100,11 +102,32 @@ def rates_by_source(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("value").alias("source"), E.source_rank("value").alias("rank"), E.percent(F.col("hit_rate")).alias("hit"), E.percent(F.col("first_rate")).alias("first"))
 
 
+def feature_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Logged results scored and ordered again from their similarities, as if they had been recalled in logged order."""
+    r = _log(spark, d).select("row_id", F.posexplode("results").alias("rank", "r"))
+    c = r.select(
+        F.col("row_id").alias("qid"), "rank", F.col("r.id").alias("id"), F.coalesce(F.col("r.relation") == "original", F.lit(False)).alias("is_original"),
+        F.coalesce(F.col("r.relation") == "variant", F.lit(False)).alias("is_variant"), *(F.coalesce(f"r.{x}", F.lit(0.0)).alias(x) for x in ("surface", "structure")),
+        F.coalesce("r.formula", F.lit(0.0)).alias("formula_score"), F.lit(0.5).alias("retrieval"), F.lit(None).cast("double").alias("diagram_score"),
+    )
+    ranked = S.rerank(c, SearchConfig(), use_formula=True)
+    return ranked.select("qid", "rank", "id", "place", F.round("final_score", 6).alias("score"))
+
+
+def packed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The log written again from its tasks, flags and results."""
+    log = _log(spark, d)
+    shown = log.select(F.col("row_id").alias("qid"), F.posexplode("results").alias("n", "r")).select("qid", (F.col("n") + 1).alias("place"), "r.*")
+    tasks = log.select(F.col("row_id").alias("qid"), F.col("id").alias("gold"), "query_text")
+    rows = E.logged_rows(tasks, E.score(shown, tasks), shown, "again")
+    return rows.select("qid", "gold", "hit", "first", "gold_original", "empty", "extra_originals", "returned", "query_text", F.coalesce(F.size("results"), F.lit(0)).alias("packed"), F.col("results")[0]["id"].alias("best"), "phase")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         eval_summary, eval_by_key, eval_combined, eval_failures, task_counts, task_sample, pending_tasks, known_tasks, looked_up_sources, merged_runs, result_relations,
-        result_flags, rates_by_source,
+        result_flags, rates_by_source, feature_scores, packed_logs,
     )
 }
 
@@ -119,6 +142,19 @@ _SUMS = """count(*) samples, count(*) FILTER (hit) hit, count(*) FILTER ("first"
   round(coalesce(sum(coalesce(elapsed_s, 0)) / count(*), 0), 6) avg_elapsed_s"""
 _KEYS = " UNION ALL ".join(f"SELECT '{k}' AS key, coalesce(nullif({k}, ''), 'unknown') AS value, * FROM l" for k in ("source", "kind", "phase"))
 ORACLE = {
+    "feature_scores": f"""
+WITH {_LOG}, r AS (SELECT row_id qid, unnest(results) x, unnest(range(len(results))) "rank" FROM l),
+  c AS (SELECT qid, "rank", x.id id, coalesce(x.relation = 'original', false) o, coalesce(x.relation = 'variant', false) v, coalesce(x.surface, 0) su, coalesce(x.structure, 0) st, coalesce(x.formula, 0) fo FROM r),
+  p AS (SELECT *, sum(o::INT) OVER (PARTITION BY qid) os, sum(v::INT) OVER (PARTITION BY qid ORDER BY "rank") n FROM c WHERE o OR v),
+  f AS (SELECT *, CASE WHEN o THEN 1.25 ELSE 0.4 * st + 0.1 + 0.15 * fo + 0.1 * greatest(0, st - su) + CASE WHEN v THEN 0.15 ELSE 0 END - 0.15 * su END s FROM p WHERE o OR n <= greatest(0, {SearchConfig().rerank_k} - os))
+SELECT qid, CAST("rank" AS INTEGER) AS "rank", id, CAST(row_number() OVER (PARTITION BY qid ORDER BY o DESC, s DESC, "rank") AS INTEGER) place, round(s, 6) score FROM f""",
+    "packed_logs": f"""
+WITH {_LOG}, r AS (SELECT row_id, id gold, unnest(results) r, unnest(range(1, len(results) + 1)) place FROM l),
+  s AS (SELECT row_id, bool_or(r.id = gold) hit, bool_or(r.id = gold AND place = 1) f, bool_or(r.id = gold AND r.relation = 'original') g,
+    count(*) FILTER (r.relation = 'original' AND r.id <> gold) e, count(*) n FROM r GROUP BY row_id)
+SELECT l.row_id qid, id gold, coalesce(s.hit, false) hit, coalesce(f, false) AS "first", coalesce(g, false) gold_original, n IS NULL AS "empty", CAST(coalesce(e, 0) AS INTEGER) extra_originals,
+  CAST(coalesce(n, 0) AS INTEGER) returned, left(query_text, 400) query_text, CAST(CASE WHEN n > 0 THEN len(results) ELSE 0 END AS INTEGER) packed, CASE WHEN n > 0 THEN results[1].id END best, 'again' phase
+FROM l LEFT JOIN s ON s.row_id = l.row_id""",
     "eval_summary": f"WITH {_LOG} SELECT {_SUMS} FROM l",
     "eval_by_key": f"WITH {_LOG} SELECT key, value, {_SUMS} FROM ({_KEYS}) GROUP BY key, value",
     "eval_combined": f"WITH {_LOG} SELECT {_SUMS} FROM l",

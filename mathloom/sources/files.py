@@ -74,10 +74,23 @@ def detect_source(path: str | Path) -> str:
     return "geometry3k" if {"annotat_text", "problem_text", "problem_type_graph"} & first.keys() else "cm17k"
 
 
+def _placed_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, n, record): the lines of files that begin an object, numbered from 0 in each file. Files are split as
+    Spark splits text, so a file of any size is read in parallel: a line's number is its place in its split plus
+    the lines of the splits before it; only one row a split is gathered for that."""
+    lines = spark.read.text(str(path), recursiveFileLookup=True, pathGlobFilter=pattern)
+    lines = lines.select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.col("record").rlike(r"^\s*\{")).withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(splits, ["path", "block"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("n"), "record")
+
+
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, n, record, lined): every JSON object below a path as text, in order of file and place. Lines of .jsonl
     files and of .json files that hold one object a line (lined), elements of arrays, and values of keyed objects are
-    records; cut lines are left out."""
+    records; cut lines are left out. A .json file is one value and therefore one row, as nothing tells where to cut it."""
     whole = spark.read.text(str(path), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("*", F.col("_metadata.file_path").alias("path"))
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(v)
@@ -88,17 +101,17 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     keyed = F.map_values(F.from_json("value", "map<string,string>"))
     own = F.when(kind.startswith("ARRAY"), listed).when(F.exists(F.map_keys(F.from_json("value", "map<string,string>")), lambda k: k.isin("id", "pid", "original_text", "problem", "problem_text", "annotat_text")), F.array("value")).otherwise(keyed)
     own = F.when(lined, F.filter(each, opens)).otherwise(own)
-    objects = whole.select("path", lined.alias("lined"), F.posexplode(own).alias("n", "record")).select("path", "n", "record", "lined")
-    lines = spark.read.text(str(path), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("*", F.col("_metadata.file_path").alias("path"))
-    lines = lines.select("path", F.posexplode(F.filter(F.split("value", "\n"), opens)).alias("n", "record"), F.lit(True).alias("lined"))
+    objects = whole.select("path", lined.alias("lined"), F.posexplode(own).alias("n", "record")).select("path", F.col("n").cast("long"), "record", "lined")
+    lines = _placed_lines(spark, path, "*.jsonl").withColumn("lined", F.lit(True))
     return objects.where(F.trim("record").startswith("{")).unionByName(lines).where(F.try_parse_json("record").isNotNull())
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds pos, the place in order of file and record: record numbers within a file plus the sizes of the files before it."""
+    """Adds pos, the place in order of file and record: record numbers within a file plus the sizes of the files before
+    it. One row a file is sorted for that, and joined as its size allows."""
     sizes = df.groupBy("path").agg((F.max("n") + 1).cast("bigint").alias("size"))
-    before = sizes.select("path", (F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # one row a file
-    return df.join(F.broadcast(before), "path").withColumn("pos", F.coalesce("before", F.lit(0)) + F.col("n")).drop("before")
+    before = sizes.select("path", (F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
+    return df.join(before, "path").withColumn("pos", F.coalesce("before", F.lit(0)) + F.col("n")).drop("before")
 
 
 def figures_of_folders(spark: SparkSession, path: str) -> DataFrame:
@@ -110,9 +123,13 @@ def figures_of_folders(spark: SparkSession, path: str) -> DataFrame:
     return ranked.groupBy("folder").agg(F.min_by("path", F.struct("rank", "name")).alias("image"))
 
 
-def read_source(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """Items of a path; the layout is recognised where no source is named."""
-    source = source or detect_source(path)
+def read_source(spark: SparkSession, path: str, source: str | None = None, limit: int | None = None) -> DataFrame:
+    """Items of a path; the layout is recognised where no source is named. ``limit``: only the first items."""
+    items = _read_source(spark, path, source or detect_source(path))
+    return items if limit is None else items.orderBy("pos").limit(limit)
+
+
+def _read_source(spark: SparkSession, path: str, source: str) -> DataFrame:
     rows = numbered(raw_records(spark, path))
     if source in ("ape", "cm17k"):
         return R.word_problems(rows.select(F.col("pos").alias("line_no"), F.lit(source).alias("source"), "record"))

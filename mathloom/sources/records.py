@@ -7,7 +7,7 @@ list positions. The raw tables are read lazily and only the columns used are sca
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -145,8 +145,10 @@ def first_of_each(parts: list[DataFrame], limit: int | None = None) -> DataFrame
     return (out.orderBy("part", "pos").limit(limit) if limit is not None else out).drop("part")
 
 
-def read_source(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Items of a folder or file of one source in its own file layout."""
-    from mathloom.sources import files
-
-    return files.read_source(spark, path, source)
+def manifest_rows(items: DataFrame) -> DataFrame:
+    """Rows of a task manifest from items: labels, text, figure; has_diagram is true where a hash, a vector or an image
+    is known."""
+    known = lambda c, kind: F.col(c) if c in items.columns else F.lit(None).cast(kind)
+    has = (F.coalesce(known("phash", "string"), F.lit("")) != "") | F.coalesce(F.size(known("diagram_vector", "array<float>")) > 0, F.lit(False)) | (F.coalesce(known("image", "string"), F.lit("")) != "")
+    labels = [known(c, "string").alias(c) for c in ("source", "kind", "type", "split", "level")]
+    return items.select("id", *labels, has.alias("has_diagram"), known("image", "string").alias("image"), "original_text")

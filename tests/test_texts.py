@@ -1,9 +1,12 @@
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mathloom.functions import formula, plain, reader
+from mathloom.functions import figure, formula, plain, reader
 from mathloom.functions import text as T
 
 TEXTS = [
@@ -96,3 +99,33 @@ def test_slug_and_names(spark):
 @pytest.mark.parametrize("a,b,want", [("半 径 是 4 米", None, "半径是4 米"), ("a  b", None, "a b")])
 def test_cjk_spaces(spark, a, b, want):
     assert spark.range(1).select(T.without_cjk_spaces(F.lit(a))).first()[0] in (want, want.replace(" 米", "米"), "半径是 4 米")
+
+
+def test_readers_and_formula_boxes():
+    image = np.full((200, 300), 255, np.uint8)
+    image[150:160, 100:200:2] = 0
+    lines = [reader.Line("Find f(x) = 2x + 1 when the value of x is given by the teacher and", (0, 10, 260, 30)), reader.Line("y = 3x", (0, 40, 100, 60)), reader.Line("no sums here", (0, 70, 99, 80)), reader.Line("z = 1", (5, 5, 5, 9))]
+    first, second, none, flat = (reader.formula_boxes(x, 200) for x in lines)
+    assert len(first) == 1 and 0 < first[0][0] < first[0][2] <= 260 and first[0][1::2] == (0, 200)
+    assert second == [(0, 0, 100, 200)] and none == [] and flat == [] and reader.formula_boxes(lines[1]) == [(0, 40, 100, 60)]
+    (box,) = figure.display_boxes(image, [x.box for x in lines])
+    assert box[0] <= 100 and box[2] >= 199 and 140 <= box[1] <= 150
+    assert reader.line_latex(image, lines, lambda part: f"L{part.shape[1]}") == {0: f"L{first[0][2] - first[0][0] + 8}", 1: "L104", -1: f"L{box[2] - box[0] + 8}"}
+    assert len(reader.line_latex(image, lines * 9, lambda part: "a")) == reader.MAX_CROPS and reader.line_latex(image, lines, None) == {}
+    assert len(reader.all_formula_boxes(image, lines)) <= reader.MAX_CROPS and reader.all_formula_boxes(np.full((40, 100), 255), []) == [(0, 0, 100, 40)]
+    assert figure.crop(image, (5, 5, 5, 9)) is None and figure.crop(image, (0, 0, 3, 3), 2) is None and figure.crop(image, (0, 0, 20, 20)).shape == (30, 30)
+
+
+def test_reader_registry():
+    with pytest.raises(RuntimeError):
+        reader.reader_maker("none")().read(np.zeros((9, 9)))
+    with pytest.raises(ValueError):
+        reader.reader_maker("unheard-of")
+    auto = reader.reader_maker(None)
+    assert auto is reader.PassthroughReader or any(auto is make for _, make in reader.ENGINES.values())
+    poly = [[0, 0], [9, 0], [9, 5], [0, 5]]
+    for found in ([(poly, "a text", 0.9)], ([(poly, ("a text", 0.9))], [0.1]), {"dt_polys": [poly], "rec_texts": ["a text"]}, SimpleNamespace(boxes=[poly], txts=("a text",))):
+        assert reader.EngineReader(lambda image, f=found: f).read(None) == "a text"
+    assert reader.lines_of(None) == [] and reader.lines_of(([], 0)) == []
+    page = [{"parsing_res_list": [{"block_label": "text", "block_content": "q1"}, {"block_label": "image", "block_content": "x"}]}, {"markdown": {"markdown_texts": "q2"}, "rec_texts": ["no"]}, {"else": 1}]
+    assert reader.texts_of(page) == "q1\nq2" and reader.texts_of({"a": {"b": 1}}) == "" and reader.texts_of(SimpleNamespace(json={"res": {"rec_texts": ["u", "v"]}})) == "u\nv"
