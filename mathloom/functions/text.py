@@ -128,10 +128,12 @@ def safe_name(c: Column) -> Column:
 
 
 def ngrams(c: Column, n: int = 3) -> Column:
-    """Distinct character n-grams in order; a shorter text is its own gram, an empty one has none."""
-    size = F.length(c)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(grams)
+    """Distinct character n-grams in order; a shorter text is its own gram, an empty one has none. The text is cut into
+    characters once, so its length counts once."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+    grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), ""))
+    each = F.array_distinct(F.flatten(F.transform(F.array(chars), grams)))  # a lambda binds the characters, so they are cut once
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(each)
 
 
 def jaccard(a: Column, b: Column) -> Column:
