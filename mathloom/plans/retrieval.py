@@ -41,7 +41,7 @@ def tfidf_norms(spark: SparkSession, d: str) -> DataFrame:
     """Grams of each item's vector: their number, their weights' sum and length."""
     total = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x)
     square = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x * x)
-    v = _text_index(spark, d).vectors.where(F.size("ws") > 0)
+    v = _text_index(spark, d).weights().where(F.size("ws") > 0)
     return v.select("pos", F.size("ws").cast("long").alias("grams"), F.round(total, 5).alias("total"), F.round(F.sqrt(square), 6).alias("norm"))
 
 

@@ -182,6 +182,8 @@ def test_recall_across_blocks_equals_one_block(spark, monkeypatch):
     items = spark.createDataFrame(rows, "pos long, structure_text string, diagram_vector array<double>").withColumn("normalized_text", F.lit("x"))
     q = items.where("pos % 50 = 0").select(F.col("pos").alias("qid"), "structure_text", "diagram_vector")
     one = {(r.qid, r.rank): r.pos for r in I.recall(I.Index.build(items), q, 30).collect()}
+    monkeypatch.setattr(I, "BLOCK_POSTINGS", 500)
+    assert {(r.qid, r.rank): r.pos for r in I.recall(I.Index.build(items), q, 30).collect()} == one
     monkeypatch.setattr(I, "BLOCK_ITEMS", 37)
     monkeypatch.setattr(I, "TILE_QUERIES", 3)
     assert {(r.qid, r.rank): r.pos for r in I.recall(I.Index.build(items), q, 30).collect()} == one and len(one) == 8 * 30
