@@ -12,14 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 
 SIZES = (2, 3, 4)
-#: Characters that are counted at once; a longer text is counted alone.
-CHUNK_CHARS = 1_000_000
+#: Characters that are counted at once, about 200 bytes of memory each; a longer text is counted alone.
+CHUNK_CHARS = 250_000
 
 #: (text, gram, count) as parallel arrays, the second one an index into the list of grams.
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]
 
 
-def ranges(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def ranges(texts: list, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``most`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -31,10 +31,10 @@ def ranges(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def counted(texts: list) -> Iterator[Counts]:
+def counted(texts: list, most: int = CHUNK_CHARS) -> Iterator[Counts]:
     """How often each gram of SIZES characters occurs in each text, some texts at a time. Null and
     one-character texts have no grams."""
-    for lo, hi in ranges(texts):
+    for lo, hi in ranges(texts, most):
         yield from _counted([t or "" for t in texts[lo:hi]], lo)
 
 
