@@ -1,7 +1,9 @@
 """Problems 3 and 5: overlaps between splits and groups of near-duplicate records.
 
 Both work on the 4-gram similarity of :mod:`shingles` and find candidates by equal parts of
-a minwise sketch, test a 128-bit fingerprint inside the join and verify what remains exactly.
+a minwise sketch, test a 256-bit fingerprint inside the join and verify what remains exactly.
+Pairs of unrelated texts of one template grow with the square of the rows; they are 0.1 to 0.45
+similar, so four equal values and a long fingerprint keep nearly all of them out of both steps.
 Rows with the same cleaned text form a class first; only one row of a class is sketched
 against others, so copies never meet each other in a join.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -63,37 +66,57 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-_SKETCH = "pos long, field int, h1 long, h2 long, fp1 long, fp2 long, mins binary"
+#: Columns of the 256-bit fingerprint.
+FP = [f"fp{k + 1}" for k in range(S.SYMBOLS // 32)]
+_SKETCH = f"pos long, field int, h1 long, h2 long, {', '.join(f'{c} long' for c in FP)}, mins binary"
 
 
-def sketch_table(rows: DataFrame, fields: list[str], count: int, bits: int) -> DataFrame:
+def sketch_table(rows: DataFrame, fields: list[str], count: int) -> DataFrame:
     """A row for each row and field whose text has a similarity: its class digest (128 bits),
-    its fingerprint (128 bits) and the low ``bits`` (8 or 16) bits of ``count`` minwise values."""
+    its fingerprint (256 bits) and the low 8 bits of ``count`` minwise values."""
     drawn = max(count, S.SYMBOLS)
 
-    kind = {8: np.uint8, 16: ">u2"}[bits]
-
     def run(batches):
         for batch in batches:
             pos = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(len(fields)):
                 for at, digest, fp, mins in _sketched(batch.column(k + 1).to_pylist(), drawn):
                     cols = [pa.array(pos[at], pa.int64()), pa.array(np.full(len(at), k, np.int32))]
-                    cols += [pa.array(np.ascontiguousarray(x)) for x in (digest[:, 0], digest[:, 1], fp[:, 0], fp[:, 1])]
-                    low = mins[:, :count] & np.uint32(2**bits - 1)
-                    yield pa.RecordBatch.from_arrays([*cols, _binary(low.astype(kind))], ["pos", "field", "h1", "h2", "fp1", "fp2", "mins"])
+                    cols += [pa.array(np.ascontiguousarray(x)) for x in (*digest.T, *fp.T)]
+                    yield pa.RecordBatch.from_arrays([*cols, _binary(mins[:, :count].astype(np.uint8))], ["pos", "field", "h1", "h2", *FP, "mins"])
 
     return rows.select("pos", *fields).mapInArrow(run, _SKETCH)
 
 
-def _differing_symbols(a: str, b: str) -> Column:
-    x = F.col(a).bitwiseXOR(F.col(b))
+def _differing_symbols(c: str) -> Column:
+    x = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     return F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def _differing_bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _differing_bits(c: str) -> Column:
+    return F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+
+
+#: Signatures that are joined at once. What one join shuffles is deleted before the next begins, so the disk
+#: holds a part of the signatures at a time.
+TOGETHER = 11
+
+
+def candidates(reps: DataFrame, signature, count: int, row_id: str, near: Column, sides: tuple[Column, Column] | None = None) -> DataFrame:
+    """Written distinct pairs (x_..., y_... of ``row_id``) of ``reps``, a written table, that are ``near`` and have
+    ``signature(reps, k)`` in common for any k below ``count``."""
+    n, found = reps.count(), []
+    kept = [c for c in reps.columns if c != "mins"]
+    for begin in range(0, count, TOGETHER):
+        some = range(begin, min(count, begin + TOGETHER))
+        rows = reps.select(F.explode(F.array(*(signature(k) for k in some))).alias("sig"), *kept)
+        met = pairs_within(rows, ["sig"], row_id, n * len(some), near, [row_id], sides)
+        found.append(materialize(met.distinct(), "met"))
+    pairs = materialize(reduce(DataFrame.union, found).distinct(), "pairs")
+    for x in found:
+        drop(x)
+    return pairs
 
 
 #: Rows of texts and pairs that one task of the verification gets.
@@ -121,28 +144,23 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
 
 # --- Problem 5: near-duplicate records -------------------------------------------------------
 
-#: PartEnum over the minwise sketch, a set of fixed size for every text: the domain of 32 values
-#: is cut into 8 parts of 4 cells; every 3 of the 4 cells of a part give a signature. Sketches that
-#: differ in at most 15 of 32 values share one for certain; of pairs at the threshold 0.02 % share none.
+#: PartEnum over the minwise sketch, a set of fixed size for every text: the domain of 128 values is cut into 32
+#: parts of 4 cells, and a part is a signature. Sketches that differ in fewer than PARTS values share one for
+#: certain; of pairs at the threshold 0.016 % share none. Signatures of 3 cells met 7 times as many unrelated texts.
 #: The sketches are sets of equal size, so all of them lie in one size band.
-PARTS, CELLS = 8, 4
-#: Fingerprints may differ in so many of 64 symbols; at the threshold 14.4 are expected, deviation 3.3, so
-#: this loses 5 pairs in 100 000 there. 31 would lose 2 in a million and verify three times as many pairs.
-MAX_SYMBOLS = 28
+PARTS, CELLS = 32, 4
+#: Fingerprints may differ in so many of 128 symbols; at the threshold 28.8 are expected, deviation 4.7, so
+#: this loses 5 pairs in 100 000 there. Of pairs of similarity 0.35 it keeps 1 %; 28 of 64 symbols kept 25 %.
+MAX_SYMBOLS = 48
 
 
-#: Signatures have so many bits, which travel 32 times a text; equal ones of different subsets only cost a comparison.
+#: Signatures have so many bits, which travel 32 times a text; equal ones of different parts only cost a comparison.
 SIGNATURE_BITS = 48
 
 
-def partenum_signatures(field: str = "field", mins: str = "mins") -> Column:
-    """Array of the 32 signatures of a sketch of 16-bit values."""
-    made = []
-    for part in range(PARTS):
-        at = lambda cell, n, p=part: F.substring(mins, 2 * (CELLS * p + cell) + 1, 2 * n)
-        for left_out in range(CELLS):
-            made.append(F.shiftrightunsigned(F.xxhash64(F.col(field), F.lit(CELLS * part + left_out), at(0, left_out), at(left_out + 1, CELLS - 1 - left_out)), 64 - SIGNATURE_BITS))
-    return F.array(*made)
+def partenum_signature(part: int, field: str = "field", mins: str = "mins") -> Column:
+    """Signature of one part of a sketch of 8-bit values."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(field), F.lit(part), F.substring(mins, CELLS * part + 1, CELLS)), 64 - SIGNATURE_BITS)
 
 
 def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -151,22 +169,22 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     classes: one row per field and cleaned text with its smallest pos ``rep`` and its rows ``n``;
     links: verified pairs (field, a, b) of class representatives.
     """
-    sk = materialize(sketch_table(rows, fields, PARTS * CELLS, 16), "sketches")
+    made = materialize(sketch_table(rows, fields, PARTS * CELLS), "sketches")
+    sk = materialize(made.select("field", "h1", "h2", "pos"), "digests")
     classes = sk.groupBy("field", "h1", "h2").agg(F.min("pos").alias("rep"), F.count("*").alias("n"))
-    reps = sk.join(classes.select("field", F.col("rep").alias("pos")), ["field", "pos"]).select("field", "pos", "fp1", "fp2", "mins")
-    reps = materialize(reps, "reps")
     own = F.shiftleft("pos", 1).bitwiseOR(F.col("field").cast("long"))  # field and pos as one number, as every byte counts here
-    sigs = reps.select(own.alias("own"), "fp1", "fp2", F.explode(partenum_signatures()).alias("sig"))
-    near = _differing_symbols("x.fp1", "y.fp1") + _differing_symbols("x.fp2", "y.fp2") <= MAX_SYMBOLS
+    first = classes.select("field", F.col("rep").alias("pos"))
+    reps = materialize(made.join(first.hint("merge"), ["field", "pos"]).select(own.alias("own"), "field", *FP, "mins"), "reps")
+    drop(made)
+    near = reduce(add, map(_differing_symbols, FP)) <= MAX_SYMBOLS
     same_field = F.col("x.own").bitwiseXOR(F.col("y.own")).bitwiseAND(F.lit(1).cast("long")) == 0
-    met = pairs_within(sigs, ["sig"], "own", reps.count() * PARTS * CELLS, same_field & near, ["own"]).distinct()
+    met = candidates(reps, partenum_signature, PARTS, "own", same_field & near)
     pairs = met.select(F.col("x_own").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("field"), F.shiftright("x_own", 1).alias("a"), F.shiftright("y_own", 1).alias("b"))
-    pairs = materialize(pairs, "pairs")
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
     texts = reduce(DataFrame.union, (rows.select("pos", F.lit(k).alias("field"), F.col(f).alias("text")) for k, f in enumerate(fields)))
     links = materialize(verified(pairs, texts.where("text is not null"), ["field"], threshold, sk.count()), "links")
-    drop(pairs)
+    drop(met)
     return sk, classes, links
 
 
@@ -209,16 +227,20 @@ def found_groups(items: DataFrame) -> DataFrame:
 
 # --- Problem 3: overlaps across splits -------------------------------------------------------
 
-#: The fingerprint of a text is 576 bits: 72 minwise values of 8 bits, in 24 segments of three. Bits of
+#: The fingerprint of a text is 1216 bits: 152 minwise values of 8 bits, in 38 segments of four. Bits of
 #: minwise values are used instead of signs of random projections: at similarity 0.7 they differ less often.
 #: Fingerprints that differ in fewer than SEGMENTS values share a segment for certain, as each of these values
-#: spoils one of 24; texts at the threshold, most of which differ in 18 to 25, share none with probability 4e-5.
-SEGMENTS, WIDTH = 24, 3
-#: So many differing values are found for certain. The Hamming radius is taken on the 128 bits of the fingerprint
-#: that travel through the join, the two low bits of its first 64 values, of which these values change at most
-#: RADIUS. At the threshold 19.2 bits are expected, deviation 4.8, so the radius loses 3 pairs in a million there.
-CERTAIN = 21
-RADIUS = 2 * CERTAIN
+#: spoils one of 38; texts at the threshold, most of which differ in 38 to 53, share none with probability 3e-5.
+SEGMENTS, WIDTH = 38, 4
+#: The Hamming radius is taken on the 256 bits of the fingerprint that travel through the join, the two low bits
+#: of its first 128 values. At the threshold 38.4 bits are expected, deviation 6.8, so the radius loses 1 pair
+#: in a million there; and the 37 values that are found for certain change at most 74.
+RADIUS = 74
+
+
+def segment(k: int) -> Column:
+    """Signature of one segment of a fingerprint."""
+    return F.xxhash64(F.lit(k), F.substring("mins", WIDTH * k + 1, WIDTH))
 
 
 def overlap_rows(items: DataFrame) -> DataFrame:
@@ -232,7 +254,7 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     links has class pairs (t, e): rows of class t in train overlap rows of class e in other splits.
     A class with rows on both sides is linked to itself."""
     rows = overlap_rows(items)
-    sk = materialize(sketch_table(rows, ["original_text"], SEGMENTS * WIDTH, 8), "codes")
+    sk = materialize(sketch_table(rows, ["original_text"], SEGMENTS * WIDTH), "codes")
     sided = sk.join(rows.select("pos", "train", "split", "source"), "pos")
     sides = materialize(sided.select("pos", "h1", "h2", "train", "split", "source"), "sides")
     classes = sides.groupBy("h1", "h2").agg(
@@ -241,15 +263,15 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     members = materialize(join_to_groups(sides, classes, ["h1", "h2"], "n", sides.count()).drop("h1", "h2"), "members")
     drop(sides)
     reps = sk.join(members.where("pos = rep").select("pos", "in_train", "in_eval").hint("merge"), "pos")
-    reps = materialize(reps.select("pos", "fp1", "fp2", "mins", "in_train", "in_eval"), "reps")
-    segment = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("mins", WIDTH * k + 1, WIDTH)) for k in range(SEGMENTS))))
-    blocks = reps.select(segment.alias("code"), "pos", "fp1", "fp2", "in_train", "in_eval")
-    near = _differing_bits("x.fp1", "y.fp1") + _differing_bits("x.fp2", "y.fp2") <= RADIUS
-    met = pairs_within(blocks, ["code"], "pos", reps.count() * SEGMENTS, near, ["pos"], sides=(F.col("in_train"), F.col("in_eval")))
-    pairs = materialize(met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b")).distinct(), "pairs")
+    reps = materialize(reps.select("pos", *FP, "mins", "in_train", "in_eval"), "reps")
+    n_rows = sk.count()
+    drop(sk)
+    near = reduce(add, map(_differing_bits, FP)) <= RADIUS
+    met = candidates(reps, segment, SEGMENTS, "pos", near, sides=(F.col("in_train"), F.col("in_eval")))
     drop(reps)
+    pairs = met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b"))
     texts = rows.select("pos", F.col("original_text").alias("text"))
-    links = verified(pairs, texts, [], threshold, sk.count()).select(F.col("a").alias("t"), F.col("b").alias("e"))
+    links = verified(pairs, texts, [], threshold, n_rows).select(F.col("a").alias("t"), F.col("b").alias("e"))
     same = members.where("pos = rep and in_train and in_eval").select(F.col("pos").alias("t"), F.col("pos").alias("e"))
     return members, materialize(links.union(same), "links")
 

@@ -15,8 +15,10 @@ import numpy as np
 
 GRAM = 4
 MIN_CHARS = 20
-#: A 128-bit fingerprint has two bits of each of so many minwise values.
-SYMBOLS = 64
+#: A 256-bit fingerprint has two bits of each of so many minwise values.
+SYMBOLS = 128
+#: Grams that are hashed at once: their arrays stay in the cache of a core.
+GRAMS_AT_ONCE = 1 << 16
 
 
 @functools.cache
@@ -75,20 +77,28 @@ def sketches(cp: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
     h = (h[valid[: len(h)]] >> np.uint64(32)).astype(np.uint32)
     starts = off[:-1] - (GRAM - 1) * np.arange(texts)
     rnd = np.random.default_rng(20240229)
+    drawn = [rnd.integers(1, 2**32, 2, dtype=np.uint32) for _ in range(count)]
     out = np.empty((texts, count), np.uint32)
-    for k in range(count):
-        xor, mul = rnd.integers(1, 2**32, 2, dtype=np.uint32)
-        v = (h ^ xor) * (mul | np.uint32(1))
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        out[:, k] = np.minimum.reduceat(v, starts)
+    begin = 0
+    while begin < texts:
+        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + GRAMS_AT_ONCE)))
+        own = h[starts[begin] : starts[end] if end < texts else len(h)]
+        at, v, w = starts[begin:end] - starts[begin], np.empty_like(own), np.empty_like(own)
+        for k, (xor, mul) in enumerate(drawn):
+            np.bitwise_xor(own, xor, out=v)
+            np.multiply(v, mul | np.uint32(1), out=v)
+            np.right_shift(v, np.uint32(15), out=w)
+            np.bitwise_xor(v, w, out=v)
+            np.multiply(v, np.uint32(0x2C1B3C6D), out=v)
+            out[begin:end, k] = np.minimum.reduceat(v, at)
+        begin = end
     return out
 
 
 def fingerprints(mins: np.ndarray) -> np.ndarray:
-    """[texts, 2] signed 64-bit halves of the 128-bit fingerprint: the two low bits of the first 64 values."""
-    two = (mins[:, :SYMBOLS] & np.uint32(3)).astype(np.uint64).reshape(len(mins), 2, SYMBOLS // 2)
-    return (two << (np.uint64(2) * np.arange(SYMBOLS // 2, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+    """[texts, 4] signed 64-bit words of the 256-bit fingerprint: the two low bits of the first 128 values."""
+    two = (mins[:, :SYMBOLS] & np.uint32(3)).astype(np.uint64).reshape(len(mins), SYMBOLS // 32, 32)
+    return (two << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 #: Pairs verified together: their number takes the upper 12 bits of a key, 52 bits of gram hash the rest.

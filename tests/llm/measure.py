@@ -57,7 +57,7 @@ def recall(pairs: int) -> None:
     from mathloom.llm import shingles as S
 
     rng = random.Random(11)
-    count = max(near.SEGMENTS * near.WIDTH, S.SYMBOLS)
+    count = max(near.SEGMENTS * near.WIDTH, near.PARTS * near.CELLS, S.SYMBOLS)
     lost = dict.fromkeys(("p5 no common signature", "p5 fingerprint", "p5", "p3 no common segment", "p3 fingerprint", "p3"), 0)
     for begin in range(0, pairs, 2000):
         n = min(2000, pairs - begin)
@@ -65,8 +65,8 @@ def recall(pairs: int) -> None:
         mins = S.sketches(cp, off, count)
         a, b = mins[::2], mins[1::2]
         two = (a[:, : S.SYMBOLS] ^ b[:, : S.SYMBOLS]) & 3
-        wide = (a[:, : near.PARTS * near.CELLS] & 0xFFFF) == (b[:, : near.PARTS * near.CELLS] & 0xFFFF)
-        signed = (wide.reshape(n, near.PARTS, near.CELLS).sum(2) >= near.CELLS - 1).any(1)
+        wide = (a[:, : near.PARTS * near.CELLS] & 255) == (b[:, : near.PARTS * near.CELLS] & 255)
+        signed = wide.reshape(n, near.PARTS, near.CELLS).all(2).any(1)
         close = (two > 0).sum(1) <= near.MAX_SYMBOLS
         k = near.SEGMENTS * near.WIDTH
         joined = ((a[:, :k] & 255) == (b[:, :k] & 255)).reshape(n, near.SEGMENTS, near.WIDTH).all(2).any(1)

@@ -71,6 +71,30 @@ def test_overlaps_equal_brute_force(items):
     assert sum(r.train_rows for r in report) == len(want) and {r.split for r in report} == {"test", "dev"}
 
 
+def templated(rng, n):
+    """Texts of one template: the same sentences with other names and numbers, about 0.3 similar."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    return [f"{word()} hires {word()} for {rng.randint(10, 99)} days to mend the broken baskets of {word()}. How many baskets does {word()} mend?" for _ in range(n)]
+
+
+@pytest.fixture
+def tested(monkeypatch):
+    """Numbers of pairs that came to the verification."""
+    seen, real = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    return seen
+
+
+def test_overlaps_verify_few_texts_of_one_template(spark, tested):
+    texts = templated(random.Random(3), 300)
+    sims = [len(S.gram_set(a) & S.gram_set(b)) / len(S.gram_set(a) | S.gram_set(b)) for a, b in zip(texts, texts[1:])]
+    assert 0.25 < np.mean(sims) < 0.35
+    rows = [(i, t, "train" if i % 2 else "test", "math") for i, t in enumerate([*texts, texts[7] + " again"])]
+    df = spark.createDataFrame(rows, "pos long, original_text string, split string, source string")
+    assert [tuple(r) for r in near.found_overlaps(df).collect()] == [(7, 300)]
+    assert tested[0] < 0.1 * 150 * 151
+
+
 def test_empty_tables(items):
     none = items.limit(0)
     assert near.found_groups(none).count() == 0 and near.found_overlaps(none).count() == 0 and near.overlap_report(none).count() == 0
