@@ -95,6 +95,28 @@ def test_overlaps_verify_few_texts_of_one_template(spark, tested):
     assert tested[0] < 0.1 * 150 * 151
 
 
+def test_groups_verify_few_texts_of_one_template_and_leave_no_shuffle(spark, tested, monkeypatch):
+    """Also the disk: the signatures are joined in several writes, each of which deletes what it shuffled."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in disk.getAllFiles().mkString("\n").split("\n") if (n := f.rpartition("/")[2]).startswith("shuffle_") and n.endswith(".data")}
+    left, real, before = [], near.materialize, shuffled()
+
+    def watched(df, tag):
+        made = real(df, tag)
+        left.append(shuffled() - before)
+        before.update(left[-1])
+        return made
+
+    monkeypatch.setattr(near, "materialize", watched)
+    texts = templated(random.Random(3), 300)
+    rows = [(i, t, None, "math") for i, t in enumerate([*texts, texts[7] + " again"])]
+    df = spark.createDataFrame(rows, "pos long, original_text string, structure_text string, source string")
+    _, _, links = near.similarity_links(near.near_duplicate_rows(df), ["original_text", "structure_text"])
+    assert [tuple(r) for r in links.collect()] == [(0, 7, 300)]
+    assert tested[0] < 0.1 * 300 * 301 / 2
+    assert sum(map(len, left)) <= 2 * len(left)  # what counts on the way shuffled stays: a row or two each
+
+
 def test_empty_tables(items):
     none = items.limit(0)
     assert near.found_groups(none).count() == 0 and near.found_overlaps(none).count() == 0 and near.overlap_report(none).count() == 0
