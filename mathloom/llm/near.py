@@ -1,7 +1,7 @@
 """Problems 3 and 5: overlaps between splits and groups of near-duplicate records.
 
 Both work on the 4-gram similarity of :mod:`shingles` and find candidates by equal parts of
-a minwise sketch, test a 256-bit fingerprint inside the join and verify what remains exactly.
+a minwise sketch, test a fingerprint of 128 values inside the join and verify what remains exactly.
 Pairs of unrelated texts of one template grow with the square of the rows; they are 0.1 to 0.45
 similar, so four equal values and a long fingerprint keep nearly all of them out of both steps.
 Rows with the same cleaned text form a class first; only one row of a class is sketched
@@ -66,14 +66,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-#: Columns of the 256-bit fingerprint.
-FP = [f"fp{k + 1}" for k in range(S.SYMBOLS // 32)]
+#: Columns of the fingerprint: two words for each bit of a symbol.
+FP = [f"fp{k + 1}" for k in range(S.SYMBOL_BITS * S.SYMBOLS // 64)]
 _SKETCH = f"pos long, field int, h1 long, h2 long, {', '.join(f'{c} long' for c in FP)}, mins binary"
 
 
 def sketch_table(rows: DataFrame, fields: list[str], count: int) -> DataFrame:
     """A row for each row and field whose text has a similarity: its class digest (128 bits),
-    its fingerprint (256 bits) and the low 8 bits of ``count`` minwise values."""
+    its fingerprint (384 bits) and the low 8 bits of ``count`` minwise values."""
     drawn = max(count, S.SYMBOLS)
 
     def run(batches):
@@ -88,10 +88,9 @@ def sketch_table(rows: DataFrame, fields: list[str], count: int) -> DataFrame:
     return rows.select("pos", *fields).mapInArrow(run, _SKETCH)
 
 
-def _differing_symbols(c: str) -> Column:
-    x = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    return F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
+def _differing_symbols() -> Column:
+    differs = lambda c: F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
+    return reduce(add, (F.bit_count(reduce(Column.bitwiseOR, map(differs, FP[half::2]))) for half in (0, 1)))
 
 
 def _differing_bits(c: str) -> Column:
@@ -103,13 +102,13 @@ def _differing_bits(c: str) -> Column:
 TOGETHER = 11
 
 
-def candidates(reps: DataFrame, signature, count: int, row_id: str, near: Column, sides: tuple[Column, Column] | None = None) -> DataFrame:
+def candidates(reps: DataFrame, signature, count: int, row_id: str, near: Column, sides: tuple[Column, Column] | None = None, together: int = TOGETHER) -> DataFrame:
     """Written distinct pairs (x_..., y_... of ``row_id``) of ``reps``, a written table, that are ``near`` and have
     ``signature(reps, k)`` in common for any k below ``count``."""
     n, found = reps.count(), []
     kept = [c for c in reps.columns if c != "mins"]
-    for begin in range(0, count, TOGETHER):
-        some = range(begin, min(count, begin + TOGETHER))
+    for begin in range(0, count, together):
+        some = range(begin, min(count, begin + together))
         rows = reps.select(F.explode(F.array(*(signature(k) for k in some))).alias("sig"), *kept)
         met = pairs_within(rows, ["sig"], row_id, n * len(some), near, [row_id], sides)
         found.append(materialize(met.distinct(), "met"))
@@ -149,9 +148,12 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: list[str], threshold: flo
 #: certain; of pairs at the threshold 0.016 % share none. Signatures of 3 cells met 7 times as many unrelated texts.
 #: The sketches are sets of equal size, so all of them lie in one size band.
 PARTS, CELLS = 32, 4
-#: Fingerprints may differ in so many of 128 symbols; at the threshold 28.8 are expected, deviation 4.7, so
-#: this loses 5 pairs in 100 000 there. Of pairs of similarity 0.35 it keeps 1 %; 28 of 64 symbols kept 25 %.
-MAX_SYMBOLS = 48
+#: Fingerprints may differ in so many of 128 symbols of three bits; at the threshold 33.6 are expected, deviation
+#: 5, so this loses 4 pairs in 100 000 there. Of pairs of similarity 0.4 it keeps 1 %; 28 of 64 symbols of two bits
+#: kept half, and as many symbols of two bits 5 %.
+MAX_SYMBOLS = 54
+#: Rows of signatures are wider here than in problem 3, so fewer are joined at once.
+SIGNATURES_TOGETHER = 8
 
 
 #: Signatures have so many bits, which travel 32 times a text; equal ones of different parts only cost a comparison.
@@ -176,9 +178,9 @@ def similarity_links(rows: DataFrame, fields: list[str], threshold: float = THRE
     first = classes.select("field", F.col("rep").alias("pos"))
     reps = materialize(made.join(first.hint("merge"), ["field", "pos"]).select(own.alias("own"), "field", *FP, "mins"), "reps")
     drop(made)
-    near = reduce(add, map(_differing_symbols, FP)) <= MAX_SYMBOLS
+    near = _differing_symbols() <= MAX_SYMBOLS
     same_field = F.col("x.own").bitwiseXOR(F.col("y.own")).bitwiseAND(F.lit(1).cast("long")) == 0
-    met = candidates(reps, partenum_signature, PARTS, "own", same_field & near)
+    met = candidates(reps, partenum_signature, PARTS, "own", same_field & near, together=SIGNATURES_TOGETHER)
     pairs = met.select(F.col("x_own").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("field"), F.shiftright("x_own", 1).alias("a"), F.shiftright("y_own", 1).alias("b"))
     drop(reps)
     # a union and no explode, so that both sides of the verification share one shuffle of the texts
@@ -236,6 +238,7 @@ SEGMENTS, WIDTH = 38, 4
 #: of its first 128 values. At the threshold 38.4 bits are expected, deviation 6.8, so the radius loses 1 pair
 #: in a million there; and the 37 values that are found for certain change at most 74.
 RADIUS = 74
+RADIUS_FP = FP[:4]
 
 
 def segment(k: int) -> Column:
@@ -263,10 +266,10 @@ def cross_split_links(items: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     members = materialize(join_to_groups(sides, classes, ["h1", "h2"], "n", sides.count()).drop("h1", "h2"), "members")
     drop(sides)
     reps = sk.join(members.where("pos = rep").select("pos", "in_train", "in_eval").hint("merge"), "pos")
-    reps = materialize(reps.select("pos", *FP, "mins", "in_train", "in_eval"), "reps")
+    reps = materialize(reps.select("pos", *RADIUS_FP, "mins", "in_train", "in_eval"), "reps")
     n_rows = sk.count()
     drop(sk)
-    near = reduce(add, map(_differing_bits, FP)) <= RADIUS
+    near = reduce(add, map(_differing_bits, RADIUS_FP)) <= RADIUS
     met = candidates(reps, segment, SEGMENTS, "pos", near, sides=(F.col("in_train"), F.col("in_eval")))
     drop(reps)
     pairs = met.select(F.col("x_pos").alias("a"), F.col("y_pos").alias("b"))

@@ -65,9 +65,10 @@ def recall(pairs: int) -> None:
         mins = S.sketches(cp, off, count)
         a, b = mins[::2], mins[1::2]
         two = (a[:, : S.SYMBOLS] ^ b[:, : S.SYMBOLS]) & 3
+        symbol = (a[:, : S.SYMBOLS] ^ b[:, : S.SYMBOLS]) & (2**S.SYMBOL_BITS - 1)
         wide = (a[:, : near.PARTS * near.CELLS] & 255) == (b[:, : near.PARTS * near.CELLS] & 255)
         signed = wide.reshape(n, near.PARTS, near.CELLS).all(2).any(1)
-        close = (two > 0).sum(1) <= near.MAX_SYMBOLS
+        close = (symbol > 0).sum(1) <= near.MAX_SYMBOLS
         k = near.SEGMENTS * near.WIDTH
         joined = ((a[:, :k] & 255) == (b[:, :k] & 255)).reshape(n, near.SEGMENTS, near.WIDTH).all(2).any(1)
         inside = ((two & 1) + (two >> 1)).sum(1) <= near.RADIUS
