@@ -4,6 +4,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from mathloom.functions import figure, formula, grams, plain
 from mathloom.functions import text as T
 from mathloom.operators import evaluate as E
 from mathloom.operators import index as I
+from mathloom.operators import nearest as N
 from mathloom.operators import search as S
 
 GALLERY = {
@@ -258,3 +260,41 @@ def test_folder_of_intermediate_tables(spark):
         assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_bounds_leave_out_pairs_and_change_no_result(monkeypatch):
+    """Items of 20 templates with 15 names each: few pairs are scored, and the best are those of all scores."""
+    rng, k, w2, n = np.random.default_rng(3), 10, 0.1225, 3000
+    texts = [np.unique(np.concatenate([np.arange(30) + 30 * rng.integers(20), 600 + rng.integers(0, 3000, 15)])) for _ in range(n)]
+    texts[7], texts[8] = texts[9], np.zeros(0, np.int64)
+    idf, df = np.where(np.arange(3600) < 600, 2.0, 6.0), np.bincount(np.concatenate(texts), minlength=3600)
+    lists = lambda rows, kind: pa.array([texts[i].astype(kind) if kind == np.int32 else np.ones(len(texts[i])) for i in rows], pa.list_(pa.from_numpy_dtype(kind)))
+    figure = [rng.random(4).astype(np.float32) if i % 9 == 0 else None for i in range(n)]
+    norm = np.array([max(1e-8, float(np.sqrt((idf[t] ** 2).sum()))) for t in texts])
+    table = lambda rows: pa.table({"pos": pa.array(rows), "gids": lists(rows, np.int32), "ws": lists(rows, np.float64), "norm": norm[rows], "v": pa.array([figure[i] for i in rows], pa.list_(pa.float32()))})
+    asked, scored = table(np.arange(0, n, 8)), [0]
+    take, brute = N.Nearest._take, I.best_of_block
+    monkeypatch.setattr(N.Nearest, "_take", lambda self, x, pos, lo, at, *a, **kw: (scored.append(len(at)), take(self, x, pos, lo, at, *a, **kw)))
+    monkeypatch.setattr(I, "best_of_block", lambda items, queries, *a: (scored.append(items.num_rows * queries.num_rows), brute(items, queries, *a))[1])
+    monkeypatch.setattr(N, "HEAD", 600)
+    monkeypatch.setattr(N, "GROUPS", 40)
+    found = N.Nearest(asked, k, w2, idf, N.head_groups([(t, np.ones(len(t))) for t in texts[:500]], df, n), np.full(asked.num_rows, -np.inf))
+    for lo in range(0, n, 1000):
+        found.add(table(np.arange(lo, lo + 1000)))
+    q, pos, score = found.found()
+    want = [(int(j[0]), b, s) for j, b, s in brute(table(np.arange(n)), asked, k, w2, idf)]
+    assert pos.reshape(-1, k).tolist() == [b.tolist() for _, b, _ in want] and len(q) == k * asked.num_rows
+    assert np.allclose(score.reshape(-1, k), [s for _, _, s in want], atol=1e-12)
+    assert sum(scored) < 0.2 * n * asked.num_rows
+
+
+def test_recall_by_bounds_equals_recall(spark, monkeypatch):
+    rows = [(i, f"train {i % 13} runs {i % 7} hours for {i % 5}" if i % 11 else "", [float(i % 3), 1.0, 0.0] if i % 4 else None) for i in range(500)]
+    items = spark.createDataFrame(rows, "pos long, structure_text string, diagram_vector array<double>").withColumn("normalized_text", F.lit("x"))
+    q = items.where("pos % 50 = 0").select(F.col("pos").alias("qid"), "structure_text", "diagram_vector")
+    index = I.Index.build(items)
+    one = {(r.qid, r.rank): (r.pos, round(r.retrieval, 9)) for r in I.recall(index, q, 30).collect()}
+    monkeypatch.setattr(I, "MANY_PAIRS", 0)
+    monkeypatch.setattr(I, "TILE_QUERIES", 4)
+    assert {(r.qid, r.rank): (r.pos, round(r.retrieval, 9)) for r in I.recall(index, q, 30).collect()} == one and len(one) == 10 * 30
+    assert I.recall(index, q.limit(0)).count() == 0 and I.recall(I.Index.build(items.limit(0)), q).count() == 0
